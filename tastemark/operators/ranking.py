@@ -99,7 +99,7 @@ def global_index(
     shifts = counts.select(
         "_piece",
         F.coalesce(F.sum("_m").over(seen), F.lit(0)).alias("_before"),
-        F.sum("_m").over(Window.partitionBy(F.lit(0))).alias("_total"),
+        F.sum("_m").over(Window.partitionBy(F.lit(0))).alias("_rows"),
     )
     local = Window.partitionBy("_piece").orderBy(*keys)
     out = (
@@ -108,8 +108,8 @@ def global_index(
         .withColumn(index_col, F.col("_before") + F.col("_local") - 1)
     )
     if total_col:
-        out = out.withColumn(total_col, F.col("_total"))
-    return out.drop("_piece", "_local", "_before", "_total")
+        out = out.withColumn(total_col, F.col("_rows"))
+    return out.drop("_piece", "_local", "_before", "_rows")
 
 
 def dense_ids(df: DataFrame, raw: str, num: str) -> DataFrame:
