@@ -77,6 +77,7 @@ def summarise(users: DataFrame, ks: Sequence[int], by: Sequence[str] = (), n_use
     """``(name, k, mean, ci95, n)`` rows. The interval divides by the square root of ``n_users`` (all users of the
     matrix, evaluated or not) when given, else by that of the evaluated users."""
     names = metric_names(ks)
+    cutoff = "at" if "k" in by else "k"  # a sweep over k keeps its own column
     n = F.count(F.lit(1)).alias("_n")
     stats = [f(F.col(f"`{m}`")).alias(f"{p}{i}") for i, m in enumerate(names) for p, f in (("a", F.avg), ("s", F.stddev_pop))]
     wide = users.groupBy(*by).agg(n, *stats) if by else users.agg(n, *stats)
@@ -84,7 +85,7 @@ def summarise(users: DataFrame, ks: Sequence[int], by: Sequence[str] = (), n_use
     cells = [
         F.struct(
             F.lit(m.split("@")[0]).alias("name"),
-            F.lit(int(m.split("@")[1]) if "@" in m else None).cast("int").alias("k"),
+            F.lit(int(m.split("@")[1]) if "@" in m else None).cast("int").alias(cutoff),
             F.round(F.col(f"a{i}"), digits).alias("mean"),
             F.round(F.lit(1.96) * F.col(f"s{i}") / F.sqrt(size), digits).alias("ci95"),
         )
@@ -109,5 +110,5 @@ def metrics(
 def map_at(recs: DataFrame, truth: DataFrame, k: int = 10, by: Sequence[str] = (), n_users: int | None = None, digits: int = 6) -> DataFrame:
     """MAP at one cut-off: ``(by..., map, ci95, n)``."""
     users = per_user(recs, truth, [k], by)
-    rows = summarise(users, [k], by, n_users, digits).where((F.col("name") == "MAP"))
+    rows = summarise(users, [k], by, n_users, digits).where(F.col("name") == "MAP")
     return rows.select(*by, F.col("mean").alias("map"), "ci95", "n")

@@ -25,14 +25,10 @@ def _part(parts, name):
     return parts.where(F.col("split") == name).drop("split")
 
 
-def _rounded(df, **digits):
-    for c, d in digits.items():
-        df = df.withColumn(c, F.round(c, d))
-    return df
-
-
 def _sixth(df, *columns):
-    return _rounded(df, **{c: 6 for c in columns})
+    for c in columns:
+        df = df.withColumn(c, F.round(c, 6))
+    return df
 
 
 # --- matrices ---------------------------------------------------------------------------------------------------------
@@ -106,23 +102,23 @@ _USER_SIMS = sims_sql("train", "user_id", "item_id")
 _ITEM_SIMS = sims_sql("train", "item_id", "user_id")
 _USER_KNN = f"{SPLIT}, {_USER_SIMS}, {top_sql('sims', 10)}"
 _ITEM_KNN = f"{SPLIT}, {_ITEM_SIMS}, {top_sql('sims', 10)}"
-_NBR_COLUMNS = "id, nbr, round(sim, 6) AS sim, rank"
+_NBR_COLUMNS = "id, nbr, sim, rank"
 
 
 @query(f"WITH {_USER_KNN} SELECT {_NBR_COLUMNS} FROM nbrs")
 def user_neighbours(spark, sf):
-    return _sixth(neighbours(knn.as_matrix(_train(spark, sf)), 10), "sim")
+    return neighbours(knn.as_matrix(_train(spark, sf)), 10)
 
 
 @query(f"WITH {_ITEM_KNN} SELECT {_NBR_COLUMNS} FROM nbrs")
 def item_neighbours(spark, sf):
-    return _sixth(neighbours(knn.as_matrix(_train(spark, sf), "item_id", "user_id"), 10), "sim")
+    return neighbours(knn.as_matrix(_train(spark, sf), "item_id", "user_id"), 10)
 
 
 @query(f"""WITH {CELLS.replace('l_suppkey', 'l_partkey')}, {sims_sql('cells', 'item_id', 'user_id')}, {top_sql('sims', 5)} SELECT {_NBR_COLUMNS} FROM nbrs""")
 def part_neighbours(spark, sf):
     """The larger item space: parts that the same users rate."""
-    return _sixth(neighbours(knn.as_matrix(fixtures.cells(spark, sf, "l_partkey"), "item_id", "user_id"), 5), "sim")
+    return neighbours(knn.as_matrix(fixtures.cells(spark, sf, "l_partkey"), "item_id", "user_id"), 5)
 
 
 @query(f"""WITH e AS (SELECT vec_id, u.i AS col, CAST(u.x AS DOUBLE) AS value FROM (SELECT vec_id, unnest(list_transform(embedding, lambda x, i: {{'x': x, 'i': i}})) AS u FROM embeddings)),
@@ -130,54 +126,54 @@ def part_neighbours(spark, sf):
 def embedding_neighbours(spark, sf):
     """Cosine neighbours of dense vectors, stored as cells like any other matrix."""
     e = fixtures.table(spark, sf, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "value"))
-    return _sixth(neighbours(e, 5), "sim")
+    return neighbours(e, 5)
 
 
-@query(f"WITH {_USER_KNN}, {score_sql('nbrs', 'train')} SELECT user_id, item_id, round(score, 6) AS score FROM scores")
+@query(f"WITH {_USER_KNN}, {score_sql('nbrs', 'train')} SELECT user_id, item_id, score FROM scores")
 def user_knn_scores(spark, sf):
     train = _train(spark, sf)
-    return _sixth(knn.score(neighbours(knn.as_matrix(train), 10), train), "score")
+    return knn.score(neighbours(knn.as_matrix(train), 10), train)
 
 
-@query(f"WITH {_ITEM_KNN}, {score_sql('nbrs', 'train', True)} SELECT user_id, item_id, round(score, 6) AS score FROM scores")
+@query(f"WITH {_ITEM_KNN}, {score_sql('nbrs', 'train', True)} SELECT user_id, item_id, score FROM scores")
 def item_knn_scores(spark, sf):
     train = _train(spark, sf)
-    return _sixth(knn.score(neighbours(knn.as_matrix(train, "item_id", "user_id"), 10), train, item_based=True), "score")
+    return knn.score(neighbours(knn.as_matrix(train, "item_id", "user_id"), 10), train, item_based=True)
 
 
-_LIST_COLUMNS = "user_id, item_id, rank, round(score, 6) AS score"
+_LIST_COLUMNS = "user_id, item_id, rank, score"
 
 
 @query(f"WITH {_USER_KNN}, {score_sql('nbrs', 'train')}, {lists_sql('scores', 'train', 50)} SELECT {_LIST_COLUMNS} FROM recs")
 def user_knn_lists(spark, sf):
-    return _sixth(flagship.user_knn_lists(_train(spark, sf), 10, 50), "score").select("user_id", "item_id", "rank", "score")
+    return flagship.user_knn_lists(_train(spark, sf), 10, 50).select("user_id", "item_id", "rank", "score")
 
 
 @query(f"""WITH {_USER_KNN}, {score_sql('nbrs', 'train')}, {lists_sql('scores', 'train', 10)}, {BUSINESS}
-SELECT user_id, r.item_id, rank, round(score, 6) AS score, name, city, stars, price FROM recs r LEFT JOIN business b ON r.item_id = b.item_id""")
+SELECT user_id, r.item_id, rank, score, name, city, stars, price FROM recs r LEFT JOIN business b ON r.item_id = b.item_id""")
 def user_knn_cards(spark, sf):
-    return _sixth(flagship.user_knn_cards(spark, sf), "score")
+    return flagship.user_knn_cards(spark, sf)
 
 
 @query(f"WITH {_ITEM_KNN}, {score_sql('nbrs', 'train', True)}, {lists_sql('scores', 'train', 100000)} SELECT {_LIST_COLUMNS} FROM recs")
 def item_knn_full_ranking(spark, sf):
     train = _train(spark, sf)
     scores = knn.score(neighbours(knn.as_matrix(train, "item_id", "user_id"), 10), train, item_based=True)
-    return _sixth(knn.full_ranking(scores, train), "score").select("user_id", "item_id", "rank", "score")
+    return knn.full_ranking(scores, train).select("user_id", "item_id", "rank", "score")
 
 
 @query(f"""WITH {_USER_KNN}, {score_sql('nbrs', 'train')}, {lists_sql('scores', 'train', 20)}
-SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS rank, round(score, 6) AS score FROM recs r
+SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY rank) AS rank, score FROM recs r
 WHERE NOT EXISTS (SELECT 1 FROM valid v WHERE v.user_id = r.user_id AND v.item_id = r.item_id)""")
 def lists_without_known_items(spark, sf):
     parts = _parts(spark, sf)
     lists = flagship.user_knn_lists(_part(parts, "train"), 10, 20)
-    return _sixth(knn.without_known(lists, _part(parts, "valid")), "score").select("user_id", "item_id", "rank", "score")
+    return knn.without_known(lists, _part(parts, "valid")).select("user_id", "item_id", "rank", "score")
 
 
-@query(f"WITH {SPLIT}, {_ITEM_SIMS}, {top_sql('sims', 1)} SELECT id, nbr AS similar_id, round(sim, 6) AS sim FROM nbrs")
+@query(f"WITH {SPLIT}, {_ITEM_SIMS}, {top_sql('sims', 1)} SELECT id, nbr AS similar_id, sim FROM nbrs")
 def most_similar_item(spark, sf):
-    return _sixth(similarity.second_best(neighbours(knn.as_matrix(_train(spark, sf), "item_id", "user_id"), 1)), "sim")
+    return similarity.second_best(neighbours(knn.as_matrix(_train(spark, sf), "item_id", "user_id"), 1))
 
 
 @query(f"""WITH {SPLIT}, {BUSINESS}, {_ITEM_SIMS}, {top_sql('sims', 1)}
@@ -205,7 +201,7 @@ def _two_sources(spark, sf, train):
 
 def _combined(spark, sf, recipe):
     out = neighbours(_two_sources(spark, sf, _train(spark, sf)), 10, [recipe])
-    return _sixth(out.drop("recipe"), "sim")
+    return out.drop("recipe")
 
 
 @query(_combined_sql("greatest(x1, x2, 0)"))
@@ -275,17 +271,17 @@ def _new_users(spark, sf):
 def fold_in_new_users(spark, sf):
     new = cut(_new_users(spark, sf))
     nbrs = neighbours(knn.as_matrix(_train(spark, sf), "item_id", "user_id"), 110)
-    return _sixth(knn.full_ranking(knn.fold_in(nbrs, new), new), "score").select("user_id", "item_id", "rank", "score")
+    return knn.full_ranking(knn.fold_in(nbrs, new), new).select("user_id", "item_id", "rank", "score")
 
 
 @query(f"""WITH {CELLS}, {_NEW}, a AS (SELECT user_id, item_id, value / sqrt(sum(value * value) OVER (PARTITION BY user_id)) AS v FROM new),
 b AS (SELECT user_id, item_id, value / sqrt(sum(value * value) OVER (PARTITION BY user_id)) AS v FROM cells),
-one AS (SELECT a.user_id AS id, b.user_id AS nbr, round(sum(a.v * b.v), 6) AS sim FROM a JOIN b USING (item_id) GROUP BY 1, 2)
+one AS (SELECT a.user_id AS id, b.user_id AS nbr, round(sum(a.v * b.v), 9) AS sim FROM a JOIN b USING (item_id) GROUP BY 1, 2)
 SELECT id, nbr, sim FROM one UNION ALL SELECT nbr, id, sim FROM one""")
 def new_user_similarities(spark, sf):
     sims = similarity.against(knn.as_matrix(_new_users(spark, sf)), knn.as_matrix(fixtures.cells(spark, sf)))
     none = sims.select("id", "nbr", "sim").limit(0)
-    return _sixth(similarity.append_similarities(none, sims), "sim")
+    return similarity.append_similarities(none, sims)
 
 
 @query(f"""WITH {CELLS}, n AS (SELECT * FROM cells WHERE user_id % 50 = 7), m AS (SELECT user_id, avg(value) AS mean FROM n GROUP BY user_id)
@@ -307,7 +303,7 @@ def _fitted_sql() -> str:
 
 @query(_fitted_sql())
 def fitted_neighbours(spark, sf):
-    return _sixth(knn.fitted_neighbours(_train(spark, sf), cut(fixtures.cells(spark, sf)), 5), "sim")
+    return knn.fitted_neighbours(_train(spark, sf), cut(fixtures.cells(spark, sf)), 5)
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
