@@ -20,6 +20,14 @@ TAG_PATTERN = r"&lt;/?.*?&gt;"
 NOT_WORD_PATTERN = r"[^\p{L}\p{Nl}\p{No}_]+"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A column used inside a lambda would be computed again for every element; bound as a lambda variable it is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(text: Column) -> Column:
     """Lower case, runs of blanks as one, no blanks at the ends."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -54,8 +62,8 @@ def clean_tokens(
     marked = mark_negation(text) if negation else squeeze(text)
     untagged = F.regexp_replace(marked, TAG_PATTERN, " &lt;&gt; ")
     words = F.split(F.trim(F.regexp_replace(untagged, NOT_WORD_PATTERN, " ")), " ")
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(stop_words)])
-    kept = F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, w))
+    stop = list(dict.fromkeys(stop_words))
+    kept = F.filter(words, lambda w: (w != "") & ~w.isin(*stop))
     return lemmatise(kept, lemmas)
 
 
@@ -91,20 +99,24 @@ def ngrams(words: Column, n: int) -> Column:
     """Runs of ``n`` neighbouring words joined with blanks; shorter arrays give none."""
     if n == 1:
         return words
-    count = F.size(words) - F.lit(n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    def runs(ws: Column) -> Column:
+        count = F.size(ws) - F.lit(n - 1)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: i <= count)
+        return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, n), " "))
+
+    return bind(words, runs)
 
 
 def ngram_range(words: Column, low: int, high: int) -> Column:
     """All n-grams with ``low <= n <= high``."""
-    return F.flatten(F.array(*[ngrams(words, n) for n in range(low, high + 1)]))
+    return bind(words, lambda ws: F.flatten(F.array(*[ngrams(ws, n) for n in range(low, high + 1)])))
 
 
 def acceptable(word: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
     """Length 2 to 40 and not a stop word; forms of ``be`` that phrases need are kept."""
     stop = [w for w in stop_words if w not in PHRASE_KEEP]
-    return F.length(word).between(2, 40) & ~F.array_contains(F.array(*[F.lit(w) for w in stop]), F.lower(word))
+    return F.length(word).between(2, 40) & ~F.lower(word).isin(*stop)
 
 
 def normalise_word(word: Column, lemmas: Mapping[str, str] | None = None) -> Column:
@@ -183,13 +195,18 @@ def compound(words: Column, lexicon: Mapping[str, float], negators: Sequence[str
     ``s`` adds the valences; a negator among the three words before flips and damps a valence.
     """
     table = literal_map({w: float(v) for w, v in lexicon.items()})
-    deny = F.array(*[F.lit(n) for n in negators])
 
-    def valence(word: Column, i: Column) -> Column:
-        v = F.try_element_at(table, word)
-        start = F.greatest(i - 2, F.lit(1))
-        negated = F.arrays_overlap(F.slice(words, start, i + 1 - start), deny)
-        return F.when(v.isNull() | (v == 0), F.lit(0.0)).when(negated, v * NEGATION_FACTOR).otherwise(v)
+    def score(ws: Column) -> Column:
+        denied = F.transform(ws, lambda w: w.isin(*negators))
+
+        def valence(word: Column, i: Column, deny: Column) -> Column:
+            v = F.try_element_at(table, word)
+            start = F.greatest(i - 2, F.lit(1))
+            negated = F.array_contains(F.slice(deny, start, i + 1 - start), F.lit(True))
+            return F.when(v.isNull() | (v == 0), F.lit(0.0)).when(negated, v * NEGATION_FACTOR).otherwise(v)
+
+        values = bind(denied, lambda deny: F.transform(ws, lambda w, i: valence(w, i, deny)))
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
-    total = F.aggregate(F.transform(words, valence), F.lit(0.0), lambda a, v: a + v)
-    return F.round(total / F.sqrt(total * total + F.lit(COMPOUND_ALPHA)), 4)
+    total = bind(words, score)
+    return bind(total, lambda s: F.round(s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA)), 4))

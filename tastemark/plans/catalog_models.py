@@ -186,7 +186,7 @@ def impute_price(spark, sf):
 
 # --- combinations -----------------------------------------------------------------------------------------------------
 
-_TWO = f"""{SPLIT}, {CATEGORIES}, {_IC}, {_UC}, {sims_sql('train', 'user_id', 'item_id', 's1')}, {sims_sql('uc', 'user_id', 'category_id', 's2')},
+_TWO = f"""{SPLIT}, {CATEGORIES}, {_IC}, {_UC}, {sims_sql('train', 'user_id', 'item_id', 's1', digits=15)}, {sims_sql('uc', 'user_id', 'category_id', 's2', digits=15)},
 pairs AS (SELECT id, nbr, coalesce(a.sim, 0) AS x1, coalesce(b.sim, 0) AS x2 FROM s1 a FULL JOIN s2 b USING (id, nbr))"""
 
 

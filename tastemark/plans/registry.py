@@ -58,12 +58,12 @@ CATEGORIES = """item_categories AS (
   SELECT DISTINCT l_suppkey AS item_id, p_type AS category FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
-def sims_sql(cells: str, row: str, col: str, name: str = "sims", value: str = "value") -> str:
+def sims_sql(cells: str, row: str, col: str, name: str = "sims", value: str = "value", digits: int = 9) -> str:
     """Cosine of every pair that shares a cell, as a self join on the column."""
     return f"""{name}_unit AS (
   SELECT {row} AS r, {col} AS c, {value} / sqrt(sum({value} * {value}) OVER (PARTITION BY {row})) AS v FROM {cells} WHERE {value} <> 0),
 {name} AS (
-  SELECT a.r AS id, b.r AS nbr, round(sum(a.v * b.v), 9) AS sim FROM {name}_unit a JOIN {name}_unit b ON a.c = b.c AND a.r <> b.r
+  SELECT a.r AS id, b.r AS nbr, round(sum(a.v * b.v), {digits}) AS sim FROM {name}_unit a JOIN {name}_unit b ON a.c = b.c AND a.r <> b.r
   GROUP BY a.r, b.r)"""
 
 

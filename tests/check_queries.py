@@ -2,6 +2,7 @@
 
 import os
 import sys
+import threading
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -22,11 +23,14 @@ for name, fn in QUERIES.items():
     if wanted and not any(name.startswith(w) for w in wanted):
         continue
     start = time.time()
+    timer = threading.Timer(float(os.environ.get("QUERY_SECONDS", "90")), spark.sparkContext.cancelAllJobs)
+    timer.start()
     try:
         df = fn(spark, sf)
         result = compare(df, con, ORACLES[name]) if name in ORACLES else f"rows only: {df.count()}"
     except Exception as e:  # noqa: BLE001
         result = f"ERROR {type(e).__name__}: {str(e)[:600]}"
+    timer.cancel()
     ok = result is None or result.startswith("rows only")
     failed += not ok
     print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.1f}s {result or ''}", flush=True)
