@@ -129,7 +129,7 @@ def normalise_word(word: Column, lemmas: Mapping[str, str] | None = None) -> Col
 
 def accepted_words(words: Column, lemmas: Mapping[str, str] | None = None) -> Column:
     """Acceptable words in normal form."""
-    return F.transform(F.filter(words, acceptable), lambda w: normalise_word(w, lemmas))
+    return F.transform(F.filter(words, lambda w: acceptable(w)), lambda w: normalise_word(w, lemmas))
 
 
 # --- tags and phrase patterns -------------------------------------------------------------------------------------

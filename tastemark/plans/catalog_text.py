@@ -360,8 +360,9 @@ one AS (SELECT item, noun_rank, noun, phrase FROM opt WHERE noun_rank = 1 AND pl
 two AS (SELECT item, noun_rank, noun, phrase FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY place) AS r FROM opt WHERE noun_rank = 2 AND (item, phrase) NOT IN (SELECT item, phrase FROM one)) WHERE r = 1),
 three AS (SELECT item, noun_rank, noun, phrase FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY place) AS r FROM opt WHERE noun_rank = 3
   AND (item, phrase) NOT IN (SELECT item, phrase FROM one) AND (item, phrase) NOT IN (SELECT item, phrase FROM two)) WHERE r = 1),
-fin AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)
-SELECT item, CAST(noun_rank AS INT) AS noun_rank, noun, phrase FROM fin""")
+fin AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three),
+tidy AS (SELECT item, noun_rank, noun, string_split(replace(replace(replace(replace(replace(phrase, 'was', 'is'), 'were', 'are'), 'also', ''), 'still', ''), 'actual', ''), ' ') AS ws FROM fin)
+SELECT item, CAST(noun_rank AS INT) AS noun_rank, noun, array_to_string(list_filter(ws, lambda w, i: w <> '' AND list_position(ws, w) = i), ' ') AS phrase FROM tidy""")
 def highlight_phrases(spark, sf):
     tokens, found, scores = _scored(spark, sf)
     best = highlights.top_nouns(scores)
