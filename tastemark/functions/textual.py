@@ -81,8 +81,22 @@ def lemmatise(words: Column, lemmas: Mapping[str, str] | None) -> Column:
 
 
 def expand_contractions(text: Column, table: Mapping[str, str] | None = None) -> Column:
-    """Contractions written out, compounds joined, in table order."""
-    return replace_all(text, table if table is not None else {**CONTRACTIONS, **COMPOUNDS})
+    """Contractions written out, compounds joined, in table order.
+
+    The leading entries with an apostrophe are tried on texts that have one only.
+    """
+    table = dict(table if table is not None else {**CONTRACTIONS, **COMPOUNDS})
+    marked = {}
+    for old, new in table.items():
+        if "'" not in old or "'" in new:
+            break
+        marked[old] = new
+    rest = {old: new for old, new in table.items() if old not in marked}
+
+    def expand(t: Column) -> Column:
+        return replace_all(F.when(F.contains(t, F.lit("'")), replace_all(t, marked)).otherwise(t), rest)
+
+    return bind(text, expand)
 
 
 def tokens(text: Column) -> Column:

@@ -437,12 +437,14 @@ def critique_inputs(spark, sf):
     """Ranked candidates of every user, the item columns a critique names, and the critiques."""
     train = cut(split.train_part(split.by_user_time(fixtures.cells(spark, sf))))
     nbrs = neighbours(knn.as_matrix(train, "item_id", "user_id"), 50)
-    recs = knn.full_ranking(knn.score(nbrs, train, item_based=True), train).select(F.col("user_id").alias("session"), "rank", "item_id")
+    events = critique_events(spark, sf)
+    own = train.join(events.select(F.col("session").alias("user_id")).distinct(), "user_id", "left_semi")  # only users who have a session
+    recs = knn.full_ranking(knn.score(nbrs, own, item_based=True), own).select(F.col("user_id").alias("session"), "rank", "item_id")
     cats = fixtures.item_categories(spark, sf).groupBy("item_id").agg(F.sort_array(F.collect_set("category")).alias("categories"))  # part types: a fixed few per item
     km = recommend.item_distances(fixtures.business(spark, sf), ellipsoid=False).where(F.col("origin") == "bloor_and_bathurst")
     items = fixtures.business(spark, sf).select("item_id", F.length("price").alias("price"), "stars")
     items = items.join(km.select("item_id", "km"), "item_id").join(cats, "item_id", "left")
-    return recs, items, critique_events(spark, sf)
+    return recs, items, events
 
 
 @query()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemark.functions.scalars import epoch_seconds
+from tastemark.session import spread
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -62,4 +63,5 @@ def item_categories(spark: SparkSession, sf: str, label: str = "p_type") -> Data
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """Review texts: 20 sources are the items."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), F.col("source").alias("item"), "text", "lang")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), F.col("source").alias("item"), "text", "lang")
+    return spread(docs)

@@ -56,6 +56,15 @@ def cut(df: DataFrame, sort_within: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the session has cores, ahead of work that is heavy per row.
+
+    A large input has more splits than cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 MAX_BROADCAST_ROWS = 100_000
 
 
