@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,16 +84,22 @@ def range_piece(df: DataFrame, keys: Sequence[Column], pieces: int) -> Column:
     literals = F.array(
         *[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))]) for b in bounds]
     )
-    return F.size(F.filter(literals, lambda b: b <= key))
+    # two steps over about sqrt(pieces) bounds each, not all of them
+    step = math.isqrt(len(bounds) - 1) + 1
+    coarse = F.filter(F.transform(F.sequence(F.lit(step), F.lit(max(len(bounds), step)), F.lit(step)), lambda i: F.try_element_at(literals, i)), lambda b: b <= key)
+    passed = F.size(coarse) * step
+    return passed + F.size(F.filter(F.slice(literals, passed + 1, F.lit(step)), lambda b: b <= key))
 
 
 def global_index(
-    df: DataFrame, keys: Sequence[str], index_col: str = "idx", total_col: str | None = None, pieces: int = 64
+    df: DataFrame, keys: Sequence[str], index_col: str = "idx", total_col: str | None = None, pieces: int | None = None
 ) -> DataFrame:
     """0-based position of every row in the order of ``keys`` (which must be unique), without a one-task sort.
 
     Rows are numbered inside key ranges; each range is shifted by the rows before it (at most ``pieces`` counts).
+    The number of ranges follows the session's shuffle partitions, within 64 and 2,500.
     """
+    pieces = pieces or min(2_500, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     ranged = df.withColumn("_piece", range_piece(df, [F.col(k) for k in keys], pieces))
     counts = ranged.groupBy("_piece").agg(F.count(F.lit(1)).alias("_m"))  # at most `pieces` rows from here on
     seen = Window.partitionBy(F.lit(0)).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

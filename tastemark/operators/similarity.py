@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from tastemark.operators.ranking import top_per_group
 from tastemark.session import cut
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 32_768  # rows of one side of a group once there is work for every core
 BLOCK_CELLS = 4_000_000
+MIN_BLOCKS = 64  # smaller inputs are cut finer, down to one tile per block
+TILE_ROWS = 2048
+MAX_TASKS = 50_000
 HEAVY_CELLS = 100_000
 TILE_COLUMNS = 2048
 SIM_DIGITS = 9
@@ -69,6 +72,7 @@ def neighbours(
     by: str | None = None,
     block_rows: int = BLOCK_ROWS,
     heavy_cells: int = HEAVY_CELLS,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Best ``k`` neighbours ``(id, nbr, sim, rank)`` of every row by cosine, self excluded, ties by smaller id.
 
@@ -94,20 +98,21 @@ def neighbours(
     per_group = sizes.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.sum("m").alias("cells"), F.max("m").alias("widest"))
     shape = per_group.agg(F.max("rows"), F.max("cells"), F.max("widest"), F.count(F.lit(1))).first()
     rows, total, widest, groups = (int(v or 0) for v in shape)
-    blocks = max(1, math.ceil(rows / block_rows), math.ceil(total / BLOCK_CELLS))
+    # every row travels to every block: large inputs get large blocks, walked tile by tile inside the task
+    blocks = max(1, math.ceil(rows / block_rows), math.ceil(total / BLOCK_CELLS), min(MIN_BLOCKS, math.ceil(rows / tile_rows)))
 
     if widest <= heavy_cells:
-        best = _block_neighbours(cells, recipes, k, blocks, groups)
+        best = _block_neighbours(cells, recipes, k, blocks, groups, tile_rows)
     else:
         heavy = sizes.where(F.col("m") > heavy_cells).select("grp", "row")
         light = cells.join(heavy, ["grp", "row"], "left_anti")
-        best = _block_neighbours(light, recipes, k, blocks, groups).unionByName(_heavy_neighbours(cells, heavy, recipes, len(sources)))
+        best = _block_neighbours(light, recipes, k, blocks, groups, tile_rows).unionByName(_heavy_neighbours(cells, heavy, recipes, len(sources)))
     ranked = top_per_group(best, ["grp", "recipe", "id"], [F.col("sim").desc(), F.col("nbr")], k)
     out = ([by] if by else []) + (["recipe"] if many else []) + ["id", "nbr", "sim", "rank"]
     return ranked.withColumnRenamed("grp", by or "grp").select(*out)
 
 
-def _block_neighbours(cells: DataFrame, recipes: Sequence[Recipe], k: int, blocks: int, groups: int) -> DataFrame:
+def _block_neighbours(cells: DataFrame, recipes: Sequence[Recipe], k: int, blocks: int, groups: int, tile_rows: int) -> DataFrame:
     vectors = (
         cells.groupBy("grp", "row")
         .agg(F.sort_array(F.collect_list(F.struct("src", "col", "value"))).alias("c"))
@@ -117,38 +122,46 @@ def _block_neighbours(cells: DataFrame, recipes: Sequence[Recipe], k: int, block
     paired = vectors.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
         "grp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "row", "src", "col", "value"
     )
-    tasks = min(4096, max(1, groups) * blocks * (blocks + 1) // 2)
+    tasks = min(MAX_TASKS, max(1, groups) * blocks * (blocks + 1) // 2)
     grp_type = cells.schema["grp"].dataType.simpleString()
     schema = f"grp {grp_type}, recipe string, id long, nbr long, sim double"
     # a fixed number of tasks: the groups are small in bytes but heavy in arithmetic, so they must not be coalesced
-    return paired.repartition(tasks, "grp", "p", "q").groupBy("grp", "p", "q").applyInPandas(_tile_product(recipes, k), schema)
+    return paired.repartition(tasks, "grp", "p", "q").groupBy("grp", "p", "q").applyInPandas(_tile_product(recipes, k, tile_rows), schema)
 
 
-def _tile_product(recipes: Sequence[Recipe], k: int):
+def _tile_product(recipes: Sequence[Recipe], k: int, tile_rows: int):
     used = sorted({m for r in recipes for m in r.parts})
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, p, q = key
+        grp, p, q = key
         pdf = pdf.sort_values("row")
         left, right = pdf[pdf.block == p], pdf[pdf.block == q]
-        if left.empty or right.empty:
-            return pd.DataFrame({"grp": [], "recipe": [], "id": [], "nbr": [], "sim": []})
-        products = {m: _product(left, right, m) for m in used}
-        out = []
-        for recipe in recipes:
-            sims = np.round(_mix([products[m] for m in recipe.parts], recipe), SIM_DIGITS)
-            if p == q:
-                np.fill_diagonal(sims, 0.0)
+        best: dict[tuple, tuple] = {}  # (recipe, side, tile) -> ids, nbrs, sims; at most k per row
+        if len(left) and len(right):
             lid, rid = left.row.to_numpy(), right.row.to_numpy()
-            sides = [_best(sims, lid, rid, k)] if p == q else [_best(sims, lid, rid, k), _best(sims.T, rid, lid, k)]
-            for ids, nbrs, values in sides:
-                out.append(pd.DataFrame({"grp": key[0], "recipe": recipe.label, "id": ids, "nbr": nbrs, "sim": values}))
-        return pd.concat(out)
+            cells = {m: (_unit_cells(left, m), _unit_cells(right, m)) for m in used}
+            other = "l" if p == q else "r"
+            for i in range(0, len(lid), tile_rows):
+                for j in range(i if p == q else 0, len(rid), tile_rows):
+                    ids, nbrs = lid[i : i + tile_rows], rid[j : j + tile_rows]
+                    tiles = {m: _product(_rows(a, i, len(ids)), _rows(b, j, len(nbrs)), len(ids), len(nbrs)) for m, (a, b) in cells.items()}
+                    for recipe in recipes:
+                        sims = np.round(_mix([tiles[m] for m in recipe.parts], recipe), SIM_DIGITS)
+                        same = p == q and i == j
+                        if same:
+                            np.fill_diagonal(sims, 0.0)
+                        _keep(best, (recipe.label, "l", i), _best(sims, ids, nbrs, k), k)
+                        if not same:
+                            _keep(best, (recipe.label, other, j), _best(sims.T, nbrs, ids, k), k)
+        columns = ["grp", "recipe", "id", "nbr", "sim"]
+        frames = [pd.DataFrame({"grp": grp, "recipe": where[0], "id": t[0], "nbr": t[1], "sim": t[2]}) for where, t in best.items()]
+        return pd.concat(frames)[columns] if frames else pd.DataFrame({c: [] for c in columns})
 
     return run
 
 
 def _unit_cells(side: pd.DataFrame, src: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row position, column and unit value of every cell of one source, in row order."""
     lengths = side.col.str.len().to_numpy()
     at = np.repeat(np.arange(len(side)), lengths)
     cols, vals, tags = (np.concatenate(side[c].to_list()) for c in ("col", "value", "src"))
@@ -158,16 +171,33 @@ def _unit_cells(side: pd.DataFrame, src: int) -> tuple[np.ndarray, np.ndarray, n
     return at, cols, vals / norm[at]
 
 
-def _product(left: pd.DataFrame, right: pd.DataFrame, src: int) -> np.ndarray:
-    (la, lc, lv), (ra, rc, rv) = _unit_cells(left, src), _unit_cells(right, src)
-    out = np.zeros((len(left), len(right)))
-    shared = np.intersect1d(lc, rc)
+def _rows(cells: tuple, start: int, count: int) -> tuple:
+    """Cells of a run of rows, positions counted from its start."""
+    lo, hi = np.searchsorted(cells[0], [start, start + count])
+    return cells[0][lo:hi] - start, cells[1][lo:hi], cells[2][lo:hi]
+
+
+def _product(left: tuple, right: tuple, n_left: int, n_right: int) -> np.ndarray:
+    out = np.zeros((n_left, n_right))
+    shared = np.intersect1d(left[1], right[1])
     for start in range(0, len(shared), TILE_COLUMNS):
         tile = shared[start : start + TILE_COLUMNS]
-        out += _dense(la, lc, lv, tile, len(left)) @ _dense(ra, rc, rv, tile, len(right)).T
+        out += _dense(*left, tile, n_left) @ _dense(*right, tile, n_right).T
     return out
 
 
+def _keep(best: dict, where: tuple, new: tuple, k: int) -> None:
+    """Merge new neighbours of a tile's rows with the ones kept so far."""
+    if where in best:
+        ids, nbrs, sims = (np.concatenate(pair) for pair in zip(best[where], new))
+        order = np.lexsort((nbrs, -sims, ids))
+        ids, nbrs, sims = ids[order], nbrs[order], sims[order]
+        first = np.searchsorted(ids, ids)
+        keep = np.arange(len(ids)) - first < k
+        new = ids[keep], nbrs[keep], sims[keep]
+    best[where] = new
+
+
 def _dense(at: np.ndarray, cols: np.ndarray, vals: np.ndarray, tile: np.ndarray, rows: int) -> np.ndarray:
     pos = np.minimum(np.searchsorted(tile, cols), len(tile) - 1)
     hit = tile[pos] == cols

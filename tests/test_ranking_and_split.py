@@ -59,6 +59,8 @@ def test_dense_ids_follow_sorted_order_whatever_the_partitions(spark):
     want = [(n, i) for i, n in enumerate(sorted(set(names)))]
     for parts in (1, 64):
         assert rows(ranking.dense_ids(df.repartition(parts), "raw", "num"), "raw", "num") == want
+    for pieces in (1, 2, 5, 300):
+        assert rows(ranking.global_index(df.distinct(), ["raw"], "num", pieces=pieces), "raw", "num") == want
 
 
 def test_duplicates_once_twice_three_times(spark):

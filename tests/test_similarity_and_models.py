@@ -47,6 +47,8 @@ def test_blocks_and_heavy_rows_agree_with_brute_force(spark):
     df = make(spark, cells)
     assert got(neighbours(df, 5)) == want
     assert got(neighbours(df.repartition(64), 5, block_rows=7)) == want
+    assert got(neighbours(df, 5, block_rows=25, tile_rows=4)) == want  # blocks of several tiles
+    assert got(neighbours(df, 5, tile_rows=60)) == want
     assert got(neighbours(df, 5, block_rows=16, heavy_cells=9)) == want  # some rows wide, some not
     assert got(neighbours(df, 5, heavy_cells=0)) == want  # all rows wide
 
