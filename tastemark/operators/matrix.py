@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemark.lookups import LIKE_THRESHOLD
+from tastemark.operators.ranking import with_dense_id
 
 
 def coo(df: DataFrame, row: str, col: str, value: Column | None = None, dedupe: str | None = None, ts: str | None = None) -> DataFrame:
@@ -106,3 +107,8 @@ def new_user_vectors(new_ratings: DataFrame) -> DataFrame:
     """Explicit, implicit and centred value of each rating of a new user."""
     centred = centre(new_ratings.withColumn("centred", F.col("value")), value="centred")
     return centred.withColumn("implicit", F.when(F.col("value") > LIKE_THRESHOLD, 1.0).otherwise(0.0))
+
+
+def remove_empty(cells: DataFrame) -> DataFrame:
+    """Compact ids: users and items that hold a cell are renumbered, the original ids are kept beside them."""
+    return with_dense_id(with_dense_id(cells, "user_id", "user_num_id"), "item_id", "item_num_id")

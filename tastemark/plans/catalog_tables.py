@@ -594,3 +594,28 @@ def implicit_matrix_inclusive(spark, sf):
 @query(f"WITH {CELLS} SELECT user_id, item_id, CAST(1 AS DOUBLE) AS value FROM cells WHERE value > 0")
 def visit_matrix(spark, sf):
     return matrix.visits(fixtures.cells(spark, sf)).select("user_id", "item_id", "value")
+
+
+@query(f"WITH {BUSINESS} SELECT DISTINCT item_id, stars, CAST(length(price) AS INT) AS price FROM business")
+def item_value_tables(spark, sf):
+    """Distinct stars and price label of each item, the lookup tables of a critique."""
+    return fixtures.business(spark, sf).select("item_id", "stars", scalars.price_label(F.col("price")).alias("price")).distinct()
+
+
+@query("""WITH c AS (SELECT o_custkey AS user_id, l_suppkey AS item_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(*) > 1),
+u AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS user_num_id FROM (SELECT DISTINCT user_id FROM c)),
+i AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS item_num_id FROM (SELECT DISTINCT item_id FROM c))
+SELECT user_num_id, item_num_id, user_id, item_id, CAST(n AS DOUBLE) AS value FROM c JOIN u USING (user_id) JOIN i USING (item_id)""")
+def compact_ids_without_empty_rows(spark, sf):
+    """Users and items with a cell left after a filter, renumbered; the original ids stay."""
+    repeated = matrix.coo(fixtures.reviews(spark, sf), "user_id", "item_id").where(F.col("value") > 1)
+    return matrix.remove_empty(repeated.select(F.col("row").alias("user_id"), F.col("col").alias("item_id"), "value"))
+
+
+@query(f"""WITH {SPLIT}, seen AS (SELECT user_id, item_id FROM split WHERE split <> 'test')
+SELECT user_id, item_id FROM test t WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = t.user_id AND s.item_id = t.item_id + 1)""")
+def candidate_difference(spark, sf):
+    """Candidates without the excluded ones."""
+    parts = cut(split.by_user_time(fixtures.cells(spark, sf)).select("user_id", "item_id", "split"))
+    excluded = parts.where(F.col("split") != "test").select("user_id", (F.col("item_id") - 1).alias("item_id"))
+    return parts.where(F.col("split") == "test").drop("split").join(excluded, ["user_id", "item_id"], "left_anti")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ from tastemark.operators import aggregates, classify, critique, evaluate, highli
 from tastemark.operators.similarity import neighbours
 from tastemark.plans import fixtures
 from tastemark.plans.registry import literal_list, query, sims_sql, top_sql
-from tastemark.session import cut
+from tastemark.session import cut, shared_folder
+from tastemark.streaming import critique_stream
 
 STOP = literal_list([*STOP_WORDS, *STOP_WORDS_EXTRA])
 W = r"[\p{L}\p{N}_]"
@@ -462,6 +466,24 @@ def critique_responses(spark, sf):
     return critique.response(answers, cards)
 
 
+@query()
+def critique_stream_answers(spark, sf):
+    """The same critiques as a stream: session rows read as files, answers written by a streaming query."""
+    recs, items, events = critique_inputs(spark, sf)
+    active = events.select("session").distinct()
+    timed = events.withColumn("event_time", F.col("ts").cast("timestamp"))
+    rows = critique_stream.session_rows(critique.candidate_rows(recs.join(active, "session", "left_semi"), items), timed, "event_time")
+    folder = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+    rows.write.parquet(os.path.join(folder, "in"))
+    answers = critique_stream.stream(spark.readStream.schema(rows.schema).parquet(os.path.join(folder, "in")), 10.0)
+    started = (
+        answers.writeStream.format("parquet").outputMode("append").option("path", os.path.join(folder, "out"))
+        .option("checkpointLocation", os.path.join(folder, "state")).trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+    return spark.read.schema(answers.schema).parquet(os.path.join(folder, "out"))
+
+
 @query()
 def text_recipe(spark, sf):
     """Item keywords as the similarity source: items are the text sources, users are the event users rating them."""
