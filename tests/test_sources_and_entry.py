@@ -79,3 +79,24 @@ def test_every_oracle_has_its_query():
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_against_sql(spark, sf, name):
     assert compare(entry.queries()[name](spark, sf), connect(sf), entry.oracle_sql()[name]) is None
+
+
+class _Fake:
+    """A session without a shared folder, local or not."""
+
+    def __init__(self, master):
+        self.conf = self
+        self.sparkContext = self
+        self.master, self.applicationId = master, f"app-{master}"
+
+    def get(self, key, default=None):
+        return default
+
+    def getConf(self):
+        return self
+
+
+def test_only_a_local_session_gets_a_temporary_folder():
+    assert shared_folder(_Fake("local[2]")) == shared_folder(_Fake("local[2]"))
+    with pytest.raises(RuntimeError):
+        shared_folder(_Fake("spark://host:7077"))
