@@ -29,7 +29,9 @@ from tokenizers.models import BPE
 from tastemark.llm.common import in_pieces
 
 #: Distinct pieces kept per task; beyond that the table starts anew, which changes no result.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 120_000
+#: Pieces given to the library in one call.
+CALL_PIECES = 8_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _DOUBLE = re.compile(r"\s ")
 
@@ -77,11 +79,15 @@ class Codec:
         self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces not seen before; one call, each piece a word of the input."""
-        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        count = np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces))
-        self.ids = np.concatenate([self.ids, np.array(found.ids, "<u4")])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(count)])
+        """Encode pieces not seen before; each is a word of the library's input."""
+        ids, counts = [self.ids], []
+        for low in range(0, len(pieces), CALL_PIECES):
+            part = pieces[low : low + CALL_PIECES]
+            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, "<u4"))
+            counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
+        self.ids = np.concatenate(ids)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > CACHE_PIECES:
@@ -134,6 +140,23 @@ def encode(text: str | Column, path: str, pattern: str) -> Column:
     return run.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
 
 
+def round_trip(text: str | Column, path: str, pattern: str) -> Column:
+    """Struct (ids, decoded): the packed ids and the bytes decoded from them, by one Python worker per task."""
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.binary())])
+
+    @arrow_udf("ids binary, decoded binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c = codec(path, pattern)
+
+        def work(texts: list) -> pa.Array:
+            ids = c.encode(texts)
+            return pa.StructArray.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([c.decode(x) for x in ids], pa.binary())], fields=list(kind))
+
+        yield from in_pieces(batches, work, kind)
+
+    return run.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
+
+
 def decode(ids: str | Column, path: str, pattern: str) -> Column:
     """Binary column: the bytes that packed ids stand for."""
 

@@ -40,8 +40,7 @@ def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text", VOCABULARY, PATTERN).alias("ids"))
-    rows = ids.select("doc_id", "ids", bpe.decode("ids", VOCABULARY, PATTERN).alias("decoded"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip("text", VOCABULARY, PATTERN).alias("r")).select("doc_id", "r.ids", "r.decoded")
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
