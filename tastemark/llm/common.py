@@ -47,26 +47,37 @@ def in_pieces(batches: Iterator[pa.Array], work: Callable[[list], pa.Array], kin
         yield pa.concat_arrays(done) if done else pa.array([], kind)
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """A bounded sample of labelled rows for fitting a model on the driver: (label, text), in a fixed order.
+def sampled(rows: DataFrame, label: str, per_label: int, seed: int, id_col: str = "doc_id") -> DataFrame:
+    """About ``per_label`` rows of each label, taken by a hash of the id at a rate per label; only the counts reach the driver.
 
-    Rows are taken by a hash of their id with a rate per label, so about ``per_label`` rows of each label come back
-    (never more than 1.3 times that), and of each text one window of at most ``max_chars`` code points at a hashed
-    place. Only the counts per label and the sample reach the driver. Null labels, ids and texts are left out.
+    Rows with a null label or id are left out. The number of rows returned is bounded by ``per_label`` up to chance.
     """
-    rows = rows.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     if not counts:
-        return []
+        return rows.limit(0)
     steps = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(steps))
     rate = F.coalesce(*[F.when(F.col(label) == F.lit(k), F.lit(min(steps, steps * per_label // n))) for k, n in sorted(counts.items())])
+    return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(steps)) < rate)
+
+
+def gathered(rows: DataFrame, label: str, per_label: int, seed: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
+    """(label, text) of sampled rows on the driver, in a fixed order, at most 1.3 times ``per_label`` of each label.
+
+    Of each text comes one window of at most ``max_chars`` code points at a hashed place; null texts are left out.
+    """
     room = F.greatest(F.lit(1), F.char_length(text_col) - F.lit(max_chars) + 1)
     start = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), room).cast("int") + 1
-    taken = rows.filter(draw < rate).select(F.col(label).alias("label"), draw.alias("draw"), F.col(id_col).alias("id"), F.substring(F.col(text_col), start, F.lit(max_chars)).alias("text")).collect()
-    out, used = [], dict.fromkeys(counts, 0)
+    window = F.substring(F.col(text_col), start, F.lit(max_chars))
+    taken = rows.filter(F.col(text_col).isNotNull()).select(F.col(label).alias("label"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"), F.col(id_col).alias("id"), window.alias("text")).collect()
+    out, used = [], {}
     for r in sorted(taken, key=lambda r: (r["draw"], r["id"], r["text"])):
-        if used[r["label"]] < per_label * 13 // 10:
-            used[r["label"]] += 1
+        used[r["label"]] = used.get(r["label"], 0) + 1
+        if used[r["label"]] <= per_label * 13 // 10:
             out.append((r["label"], r["text"]))
     return out
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
+    """A bounded sample of labelled rows for fitting a model on the driver."""
+    return gathered(sampled(rows, label, per_label, seed, id_col), label, per_label, seed, max_chars, id_col, text_col)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tastemark.llm.common import in_pieces, labelled_sample, pieces
+from tastemark.llm.common import gathered, in_pieces, pieces, sampled
 
 BEGINNINGS = range(4, 8)
 #: Words whose vocabulary terms a task remembers; beyond that it starts anew, which changes no result.
@@ -204,10 +204,17 @@ def document_frequencies(docs: DataFrame, words: list[str], text_col: str = "tex
     return totals.get(-1, 0) or 0, np.array([totals.get(i, 0) for i in range(len(words))], np.float64)
 
 
-def train(docs: DataFrame, labelled: DataFrame, label: str = "label", per_label: int = 1500, max_chars: int = 20_000, k: int = 15, least_ratio: float = 4.0, least_evidence: float = 25.0, prior_votes: float = 1.0, text_col: str = "text") -> Model:
-    """Fit on at most about ``per_label`` rows of each label (0 or 1) of ``labelled``, ``max_chars`` code points of each."""
-    counts = {int(r[0]): r[1] for r in labelled.filter(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
-    sample = [(int(y), t) for y, t in labelled_sample(labelled.filter(F.col(label).isin(0, 1)), label, per_label, 1010, max_chars)]
+def train(docs: DataFrame, labels: DataFrame, label: str = "label", per_label: int = 1500, max_chars: int = 20_000, k: int = 15, least_ratio: float = 4.0, least_evidence: float = 25.0, prior_votes: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most about ``per_label`` rows of each label (0 or 1) of ``labels`` (id, label), ``max_chars`` code points of each.
+
+    The labels are sampled before their texts are looked up, so the join broadcasts a number of ids bounded by
+    ``per_label`` and no text is shuffled.
+    """
+    labels = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("_labelled"), F.col(label).cast("int").alias("_label"))
+    counts = {r[0]: r[1] for r in labels.groupBy("_label").count().collect()}
+    drawn = F.broadcast(sampled(labels, "_label", per_label, 1010, "_labelled"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(drawn, F.col("_id") == F.col("_labelled"))
+    sample = gathered(texts, "_label", per_label, 1010, max_chars, "_id", "_text")
     total = sum(counts.values()) or 1
     rates = {y: counts.get(y, 0) / total for y in (0, 1)}
     words = select_words(sample, least_ratio, least_evidence) if len({y for y, _ in sample}) == 2 else []

@@ -248,13 +248,15 @@ def test_toxicity_edges(spark):
     rows = [(i, f"w{i} {'stupid' if i % 2 else 'calm'} v{i * 7} {'fool' if i % 2 else 'sea'} x{i}", i % 2) for i in range(120)]
     learned = spark.createDataFrame(rows, "doc_id long, text string, label int")
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "a stupid one"), (3, "a stupid one"), (4, "calm sea"), (5, "stupid " * 50_000)], "doc_id long, text string").withColumn("score", F.lit("x"))
-    model = toxicity.train(docs, learned, least_evidence=10.0)
+    every = docs.select("doc_id", "text").unionByName(learned.select(F.col("doc_id") + 100, "text").toDF("doc_id", "text"))
+    learned = learned.select((F.col("doc_id") + 100).alias("doc_id"), "label")
+    model = toxicity.train(every, learned, least_evidence=10.0)
     got = [(r["doc_id"], r["r"]["score"]) for r in docs.select("doc_id", toxicity.score(model, "text").alias("r")).collect()]
     of = dict(got)
     assert len(got) == 6 and of[3] > 0.7 and of[5] > 0.7 and of[4] < 0.5 and of[1] == of[2] and 0 <= of[1] <= 1
     none = toxicity.train(docs.limit(0), learned.limit(0))
     assert 0 <= none.score("stupid")["score"] <= 1
-    assert 0 <= toxicity.train(docs, learned.filter("label = 0")).score("stupid")["score"] <= 0.5
+    assert 0 <= toxicity.train(every, learned.filter("label = 0")).score("stupid")["score"] <= 0.5
 
 
 # pipeline ------------------------------------------------------------------------------------------------------------
