@@ -180,7 +180,8 @@ def _pair(text: pa.Array, following: pa.Array) -> pa.Array:
 def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text and their likeness, the texts taken in descending order of id.
 
-    Rows are dealt out by ranges of the id and walked in order within a task; only the two rows at the seams between
+    Rows are dealt out by ranges of the id (and, among equal ids, the beginning of the text) and walked in order within
+    a task; only the two rows at the seams between
     tasks are paired afterwards, by a join on the number of the range. Equal ids are ordered by text, null ids come
     last. The text after the last one is the first.
     """
@@ -188,7 +189,8 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = [F.col("id").desc_nulls_last(), F.col("text").asc_nulls_first()]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    walked = cut(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_walk, _EDIT_TYPE))
+    dealt = [order[0], F.substring("text", 1, 32).asc_nulls_first()]  # short keys, as a sample of them goes to the driver
+    walked = cut(rows.repartitionByRange(ranges, *dealt).sortWithinPartitions(*order).mapInArrow(_walk, _EDIT_TYPE))
     inner = walked.filter("place = 'inner'").drop("place", "part", "text")
     heads = walked.filter("place = 'head'").select("part", F.col("text").alias("following"))
     after = heads.select("part").withColumn("previous", F.lag("part").over(Window.orderBy("part")))  # one small number per range
