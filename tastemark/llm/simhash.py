@@ -144,4 +144,5 @@ def keep_one(docs: DataFrame, size: int = 5, max_bits: int = 2, id_col: str = "d
     found = components(links(classes.select("fp"), max_bits))
     named = classes.join(found, classes["fp"] == found["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
     kept = cut(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_kept")))
-    return rows.join(kept, F.col("_place.row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    # the kept rows grow with the input, so they are never broadcast
+    return rows.join(kept.hint("merge"), F.col("_place.row") == F.col("_kept"), "left_semi").select(*docs.columns)
