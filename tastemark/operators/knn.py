@@ -35,16 +35,18 @@ def score(nbrs: DataFrame, ratings: DataFrame, item_based: bool = False, by: Seq
     return joined.groupBy(*keys).agg(F.round(F.sum(F.col("sim") * F.col(value)), SCORE_DIGITS).alias("score"))
 
 
-def sweep_scores(nbrs: DataFrame, ratings: DataFrame, ks: Sequence[int], item_based: bool = False, by: Sequence[str] = (), value: str = "value") -> DataFrame:
+def sweep_scores(nbrs: DataFrame, ratings: DataFrame, ks: Sequence[int], item_based: bool = False, by: Sequence[str] = (), value: str = "value", seen: DataFrame | None = None) -> DataFrame:
     """Scores for every neighbourhood size in one aggregation: ``(k, user_id, item_id, score)``.
 
-    Each neighbour rating is read once; the sizes are conditional sums, not repeated rows.
+    Each neighbour rating is read once; the sizes are conditional sums, not repeated rows. Items a user has in ``seen``
+    are left out before the sizes become rows.
     """
     ks = sorted(ks)
     joined, keys = _weighted(nbrs.where(F.col("rank") <= ks[-1]).select(*by, "id", "nbr", "sim", "rank"), ratings, item_based, by)
     part = F.col("sim") * F.col(value)
     sums = [F.round(F.sum(F.when(F.col("rank") <= k, part)), SCORE_DIGITS).alias(f"k{k}") for k in ks]
     wide = joined.groupBy(*keys).agg(*sums)
+    wide = wide if seen is None else unseen(wide, seen, by)
     sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("score")) for k in ks])).alias("s")
     return wide.select(*keys, sizes).select(*keys, "s.k", "s.score").where(F.col("score").isNotNull())
 

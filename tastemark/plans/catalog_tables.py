@@ -37,7 +37,7 @@ def scan_csv_columns(spark, sf):
     path = _folder(spark)
     writers.write_csv(fixtures.documents(spark, sf), path)
     schema = T.StructType([T.StructField("review_id", T.LongType()), T.StructField("item", T.StringType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
-    return readers.csv(spark, path, schema, ["review_id", "text"]).select("review_id", F.md5("text").alias("text_md5"))
+    return readers.csv(spark, path, schema, ["review_id", "text"], multi_line=True).select("review_id", F.md5("text").alias("text_md5"))
 
 
 @query(f"WITH {CELLS} SELECT user_id AS row, item_id AS col, value FROM cells")

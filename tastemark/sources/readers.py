@@ -39,9 +39,12 @@ def json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with header, quoted line breaks and doubled quotes; only ``columns`` are parsed."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+def csv(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with header and doubled quotes; only ``columns`` are parsed.
+
+    ``multi_line`` allows quoted line breaks, but makes each file one task: convert such files to parquet once.
+    """
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=multi_line, escape='"')
     return df.select(*columns) if columns else df
 
 

@@ -33,7 +33,7 @@ def test_csv_round_trip_keeps_quotes_and_line_breaks(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c\nd'), (2, "plain")], "id long, text string")
     writers.write_csv(df, str(tmp_path / "c"))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
-    assert sorted(map(tuple, readers.csv(spark, str(tmp_path / "c"), schema).collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, readers.csv(spark, str(tmp_path / "c"), schema, multi_line=True).collect())) == sorted(map(tuple, df.collect()))
     plan = readers.csv(spark, str(tmp_path / "c"), schema, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:bigint>" in plan
 
