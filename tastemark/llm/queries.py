@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemark.llm import bpe, decontam, fingerprints, language, pii, secrets, simhash, toxicity, urls, warc
+from tastemark.llm import bpe, decontam, fingerprints, language, oracles, pii, secrets, simhash, toxicity, urls, warc
 from tastemark.llm.common import remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -90,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_language_crf, op2_pii_anchors, op3_byte_bpe, op4_secret_ledger, op5_simhash_blocks, op6_path_templates, op7_suffix_arrays, op8_prefix_hashes, op9_warc_zstd, op10_toxicity_neighbours)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
