@@ -68,10 +68,9 @@ def top_k(scores: DataFrame, seen: DataFrame | None = None, k: int = LIST_LENGTH
 
 
 def full_ranking(scores: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """Every unseen scored item of every user, ranked. Long lists are ranked in score bands."""
+    """Every unseen scored item of every user, ranked. Long lists are ranked in ranges of the score."""
     rest = scores if seen is None else unseen(scores, seen)
-    spread = F.struct((-F.col("score")).alias("s"), F.floor(F.col("item_id") / 65536).alias("i"))
-    return group_rank(rest, ["user_id"], ranked_order(), spread, "rank", "_n").drop("_n")
+    return group_rank(rest, ["user_id"], ranked_order(), "rank", "_n").drop("_n")
 
 
 def without_known(recs: DataFrame, known: DataFrame) -> DataFrame:

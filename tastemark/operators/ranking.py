@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +9,6 @@ from pyspark.sql import functions as F
 
 from tastemark.session import cut
 
-HOT_ROWS = 2_000_000  # rows of one group that a single window task may hold
-
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, rank_col: str = "rank") -> DataFrame:
     """First ``k`` rows per group. ``row_number() <= k`` is planned as a window group limit: every map task keeps at
@@ -20,75 +17,30 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn(rank_col, F.row_number().over(window)).where(F.col(rank_col) <= k)
 
 
-def has_group_above(df: DataFrame, group: Sequence[str], rows: int) -> bool:
-    """True when any group has more than ``rows`` rows (one partial aggregation over the key columns)."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return bool(sizes.where(F.col("n") > rows).limit(1).count())
-
-
-def group_rank(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Column],
-    spread: Column,
-    rank_col: str = "pos",
-    count_col: str = "n",
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """1-based position in the group and group size, for groups of any size.
+def _ranged(df: DataFrame, order: Sequence[str | Column], pieces: int | None = None) -> DataFrame:
+    """Rows with ``_piece``, the number of the key range they fall in, by Spark's range partitioning.
 
-    ``spread`` must rise with ``order`` (equal order keys may not be spread apart the wrong way). Groups above
-    ``hot_rows`` are ranked piece by piece along ``spread`` and shifted by the size of the earlier pieces.
+    The table is written once, so that every branch that reads it sees the same ranges, also after a lost executor.
     """
-    group = list(group)
-    if not has_group_above(df, group, hot_rows):
-        whole = Window.partitionBy(*group)
-        return df.withColumn(rank_col, F.row_number().over(whole.orderBy(*order)).cast("long")).withColumn(
-            count_col, F.count(F.lit(1)).over(whole)
-        )
-    df = cut(df)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias(count_col))
-    sized = df.join(sizes, group).withColumn("_piece", F.when(F.col(count_col) > hot_rows, spread))
-    pieces = sized.where(F.col("_piece").isNotNull()).groupBy(*group, "_piece").agg(F.count(F.lit(1)).alias("_m"))
-    before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = pieces.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
-    local = Window.partitionBy(*group, "_piece").orderBy(*order)
-    return (
-        sized.withColumn("_local", F.row_number().over(local).cast("long"))
-        .join(shifts, [*group, "_piece"], "left")
-        .withColumn(rank_col, F.col("_local") + F.coalesce("_before", F.lit(0)))
-        .drop("_piece", "_local", "_before")
-    )
+    parts = df.repartitionByRange(pieces, *order) if pieces else df.repartitionByRange(*order)
+    return cut(parts.withColumn("_piece", F.spark_partition_id()))
 
 
-def range_piece(df: DataFrame, keys: Sequence[Column], pieces: int) -> Column:
-    """Number of the key range a row falls in, from at most ``20 * pieces`` sampled keys held as literals.
+def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], rank_col: str = "pos", count_col: str = "n", pieces: int | None = None) -> DataFrame:
+    """1-based position in the group and group size, for groups of any size; null group values are a group.
 
-    The sample is the smallest hashes of the keys, so it does not depend on how the input is partitioned.
+    Rows are ranked inside ranges of (group, order) and shifted by the rows of the group in earlier ranges, so a large
+    group is spread over as many tasks as it has ranges. A window over a group sees one row per range. ``pieces`` sets
+    the number of ranges; otherwise it follows the data and the session.
     """
-    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    sample = (
-        df.select(key.alias("key"))
-        .orderBy(F.xxhash64("key"))
-        .limit(20 * pieces)
-        .select("key.*")
-        .distinct()
-        .orderBy(*[f"k{i}" for i in range(len(keys))])
-        .collect()
-    )
-    step = max(1, len(sample) // pieces)
-    bounds = sample[step::step]
-    if not bounds:
-        return F.lit(0)
-    types = [f.dataType for f in df.select(key.alias("key")).schema["key"].dataType.fields]
-    literals = F.array(
-        *[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))]) for b in bounds]
-    )
-    # two steps over about sqrt(pieces) bounds each, not all of them
-    step = math.isqrt(len(bounds) - 1) + 1
-    coarse = F.filter(F.transform(F.sequence(F.lit(step), F.lit(max(len(bounds), step)), F.lit(step)), lambda i: F.try_element_at(literals, i)), lambda b: b <= key)
-    passed = F.size(coarse) * step
-    return passed + F.size(F.filter(F.slice(literals, passed + 1, F.lit(step)), lambda b: b <= key))
+    ranged = _ranged(df, [*[F.col(c) for c in group], *order], pieces).withColumn("_group", F.struct(*group))
+    sizes = ranged.groupBy("_group", "_piece").agg(F.count(F.lit(1)).alias("_m"))
+    whole = Window.partitionBy("_group")
+    before = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_group", "_piece", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"), F.sum("_m").over(whole).alias(count_col))
+    local = Window.partitionBy("_group", "_piece").orderBy(*order)
+    ranked = ranged.withColumn("_local", F.row_number().over(local)).join(shifts, ["_group", "_piece"])
+    return ranked.withColumn(rank_col, F.col("_local") + F.col("_before")).drop("_group", "_piece", "_local", "_before")
 
 
 def global_index(
@@ -96,12 +48,11 @@ def global_index(
 ) -> DataFrame:
     """0-based position of every row in the order of ``keys`` (which must be unique), without a one-task sort.
 
-    Rows are numbered inside key ranges; each range is shifted by the rows before it (at most ``pieces`` counts).
-    The number of ranges follows the session's shuffle partitions, within 64 and 2,500.
+    Rows are numbered inside key ranges; each range is shifted by the rows before it. ``pieces`` sets the number of
+    ranges, else it is that of the session's shuffle partitions.
     """
-    pieces = pieces or min(2_500, max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = df.withColumn("_piece", range_piece(df, [F.col(k) for k in keys], pieces))
-    counts = ranged.groupBy("_piece").agg(F.count(F.lit(1)).alias("_m"))  # at most `pieces` rows from here on
+    ranged = _ranged(df, [F.col(k) for k in keys], pieces)
+    counts = ranged.groupBy("_piece").agg(F.count(F.lit(1)).alias("_m"))  # one row per range from here on
     seen = Window.partitionBy(F.lit(0)).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(
         "_piece",

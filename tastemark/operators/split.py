@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemark.lookups import LIKE_THRESHOLD, SPLIT_RATIO
-from tastemark.operators.ranking import HOT_ROWS, global_index, group_rank
+from tastemark.operators.ranking import global_index, group_rank
 
 
 def by_user_time(
@@ -18,7 +18,6 @@ def by_user_time(
     side: str = "newest",
     implicit: bool = False,
     by: Sequence[str] = ("user_id",),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Time-ordered split per user: adds ``split`` in train, valid, test.
 
@@ -27,9 +26,7 @@ def by_user_time(
     """
     if implicit:
         cells = cells.where(F.col("value") > LIKE_THRESHOLD).withColumn("value", F.lit(1.0))
-    # pieces of a very active user follow time first, then item
-    spread = F.struct(F.col("ts").alias("t"), F.floor(F.col("item_id") / 65536).alias("i"))
-    ranked = group_rank(cells, list(by), [F.col("ts"), F.col("item_id")], spread, "_pos", "_n", hot_rows)
+    ranked = group_rank(cells, list(by), [F.col("ts"), F.col("item_id")], "_pos", "_n")
     return assign_split(ranked, ratio, train_share, side).drop("_pos", "_n")
 
 
@@ -73,7 +70,8 @@ def by_global_time(df: DataFrame, keys: Sequence[str], train_share: float = 0.8)
 
 def by_hash(df: DataFrame, key: str, seed: int = 66, train_percent: int = 80) -> DataFrame:
     """Hold-out split that depends on the row key only, not on partitions."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    digits = F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 7)
+    bucket = F.conv(digits, 16, 10).cast("long") % 100
     return df.withColumn("split", F.when(bucket < train_percent, "train").otherwise("test"))
 
 

@@ -100,8 +100,7 @@ def concat_texts(docs: DataFrame, key: str, order: str, text: str = "text", sepa
     A key with many texts gets several numbered parts of ``part_reviews`` texts, so no row and no task grows with
     the key; the parts joined in order are the whole. ``separator=""`` lets border words fuse.
     """
-    spread = F.floor(F.col(order) / part_reviews)
-    ranked = group_rank(docs.select(key, order, text), [key], [F.col(order)], spread, "_pos", "_n")
+    ranked = group_rank(docs.select(key, order, text), [key], [F.col(order)], "_pos", "_n")
     parts = ranked.withColumn("part", F.floor((F.col("_pos") - 1) / part_reviews).cast("int"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", text))), lambda t: t[text]), separator)
     return parts.groupBy(key, "part").agg(joined.alias("text"), F.count(F.lit(1)).alias("reviews"))

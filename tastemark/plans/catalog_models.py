@@ -8,7 +8,7 @@ from tastemark.operators import evaluate, experiments, knn, matrix, ranking, rec
 from tastemark.operators.similarity import Recipe, combine_recipe, neighbours
 from tastemark.plans import fixtures, flagship
 from tastemark.plans.catalog_tables import _KM
-from tastemark.plans.registry import BUSINESS, CATEGORIES, CELLS, SPLIT, lists_sql, map_sql, query, score_sql, sims_sql, top_sql
+from tastemark.plans.registry import BUSINESS, CATEGORIES, CELLS, IMPLICIT, SPLIT, lists_sql, map_sql, query, score_sql, sims_sql, top_sql
 from tastemark.session import cut
 
 
@@ -21,6 +21,11 @@ def _train(spark, sf):
     return cut(split.train_part(split.by_user_time(fixtures.cells(spark, sf))))
 
 
+def _implicit_parts(spark, sf):
+    """The split of the liked cells alone: filtered first, then split per user."""
+    return cut(split.by_user_time(fixtures.cells(spark, sf), implicit=True))
+
+
 def _part(parts, name):
     return parts.where(F.col("split") == name).drop("split")
 
@@ -47,20 +52,21 @@ def item_category_matrix(spark, sf):
     return _ic(spark, sf)
 
 
-_UC = "uc AS (SELECT t.user_id, category_id, sum(ic.value) AS value FROM train t JOIN ic ON t.item_id = ic.item_id WHERE t.value > 3 GROUP BY t.user_id, category_id)"
+_UC = "uc AS (SELECT t.user_id, category_id, sum(ic.value) AS value FROM itrain t JOIN ic ON t.item_id = ic.item_id GROUP BY t.user_id, category_id)"
 
 
-def _uc(spark, sf, train=None):
-    train = _train(spark, sf) if train is None else train
-    return matrix.user_category(matrix.above(train), _ic(spark, sf))
+def _uc(spark, sf, liked=None):
+    """User-category cells of the implicit train part."""
+    liked = _part(_implicit_parts(spark, sf), "train") if liked is None else liked
+    return matrix.user_category(liked, _ic(spark, sf))
 
 
-@query(f"WITH {SPLIT}, {CATEGORIES}, {_IC}, {_UC} SELECT user_id, category_id, value FROM uc")
+@query(f"WITH {SPLIT}, {IMPLICIT}, {CATEGORIES}, {_IC}, {_UC} SELECT user_id, category_id, value FROM uc")
 def user_category_matrix(spark, sf):
     return _uc(spark, sf)
 
 
-@query(f"WITH {SPLIT}, {CATEGORIES}, {_IC}, {_UC} SELECT user_id, category_id, CAST(1 AS DOUBLE) AS value FROM uc WHERE value > 3")
+@query(f"WITH {SPLIT}, {IMPLICIT}, {CATEGORIES}, {_IC}, {_UC} SELECT user_id, category_id, CAST(1 AS DOUBLE) AS value FROM uc WHERE value > 3")
 def user_category_implicit(spark, sf):
     return matrix.above(_uc(spark, sf))
 
@@ -186,7 +192,7 @@ def impute_price(spark, sf):
 
 # --- combinations -----------------------------------------------------------------------------------------------------
 
-_TWO = f"""{SPLIT}, {CATEGORIES}, {_IC}, {_UC}, {sims_sql('train', 'user_id', 'item_id', 's1', digits=15)}, {sims_sql('uc', 'user_id', 'category_id', 's2', digits=15)},
+_TWO = f"""{SPLIT}, {IMPLICIT}, {CATEGORIES}, {_IC}, {_UC}, {sims_sql('train', 'user_id', 'item_id', 's1', digits=15)}, {sims_sql('uc', 'user_id', 'category_id', 's2', digits=15)},
 pairs AS (SELECT id, nbr, coalesce(a.sim, 0) AS x1, coalesce(b.sim, 0) AS x2 FROM s1 a FULL JOIN s2 b USING (id, nbr))"""
 
 
@@ -194,8 +200,8 @@ def _combined_sql(expr: str, k: int = 10) -> str:
     return f"WITH {_TWO}, sims AS (SELECT id, nbr, round({expr}, 9) AS sim FROM pairs), {top_sql('sims', k)} SELECT {_NBR_COLUMNS} FROM nbrs"
 
 
-def _two_sources(spark, sf, train):
-    uc = _uc(spark, sf, train).select(F.col("user_id").alias("row"), F.col("category_id").alias("col"), "value")
+def _two_sources(spark, sf, train, liked=None):
+    uc = _uc(spark, sf, liked).select(F.col("user_id").alias("row"), F.col("category_id").alias("col"), "value")
     return [knn.as_matrix(train), uc]
 
 
@@ -230,22 +236,57 @@ def combine_weighted(spark, sf):
 
 
 
+def _best_sql(options: str, k: int = 10) -> str:
+    """The best ``k`` neighbours per recipe of ``options`` (recipe, id, nbr, sim)."""
+    return f"""nbrs AS (SELECT recipe, id, nbr, sim FROM (
+  SELECT *, row_number() OVER (PARTITION BY recipe, id ORDER BY sim DESC, nbr) AS rank FROM ({options}) WHERE sim > 0) WHERE rank <= {k})"""
 
-def _four_sources(spark, sf, train):
-    explicit, uc = _two_sources(spark, sf, train)
-    return [explicit, knn.as_matrix(matrix.above(train)), uc, knn.as_matrix(matrix.visits(train))]
 
+def _recipe_map_sql(name: str, ratings: str, truth: str, item_based: bool = False, nbrs: str = "nbrs") -> str:
+    """Lists of every recipe of ``nbrs`` on one prediction matrix, and their MAP as ``name`` (recipe, map, ci95, n)."""
+    user, item, on = ("t.user_id", "n.id", "t.item_id") if item_based else ("n.id", "t.item_id", "t.user_id")
+    return f"""{name}_s AS (SELECT recipe, {user} AS user_id, {item} AS item_id, round(sum(n.sim * t.value), 9) AS score FROM {nbrs} n JOIN {ratings} t ON n.nbr = {on} GROUP BY 1, 2, 3),
+{lists_sql(f"{name}_s", ratings, 50, f"{name}_r", "s.recipe, ")}, {map_sql(f"{name}_r", truth, 10, "recipe", name)}"""
 
-@query()
+
+def _sweep_of_subsets_sql() -> str:
+    sources = (("train", "user_id", "item_id", "value"), ("itrain", "user_id", "item_id", "value"), ("uc", "user_id", "category_id", "value"), ("seen", "user_id", "item_id", "value"))
+    sims = ", ".join(sims_sql(t, r, c, f"s{i}", v, 15) for i, (t, r, c, v) in enumerate(sources, 1))
+    union = " UNION ALL ".join(f"SELECT {i} AS src, id, nbr, sim FROM s{i}" for i in range(1, 5))
+    pairs = ", ".join(f"coalesce(max(sim) FILTER (src = {i}), 0) AS x{i}" for i in range(1, 5))
+    subsets = [[p + 1 for p in parts] for parts in similarity.iter_pairs(4)]
+    options = " UNION ALL ".join(f"SELECT '{'+'.join(map(str, p))}' AS recipe, id, nbr, round(greatest({', '.join(f'x{i}' for i in p)}, 0), 9) AS sim FROM pairs" for p in subsets)
+    return f"""WITH {SPLIT}, {IMPLICIT}, {CATEGORIES}, {_IC}, {_UC}, seen AS (SELECT user_id, item_id, CAST(1 AS DOUBLE) AS value FROM train WHERE value > 0), {sims},
+pairs AS (SELECT id, nbr, {pairs} FROM ({union}) GROUP BY id, nbr), {_best_sql(options)}, {_recipe_map_sql("me", "train", "valid")}, {_recipe_map_sql("mi", "itrain", "ivalid")}
+SELECT recipe, 'explicit' AS matrix, map, ci95, n FROM me UNION ALL SELECT recipe, 'implicit', map, ci95, n FROM mi"""
+
+
+@query(_sweep_of_subsets_sql())
 def combination_sweep(spark, sf):
-    """Eleven subsets of four similarities times two prediction matrices, one pass over the block products."""
-    parts = _parts(spark, sf)
-    train = _part(parts, "train")
-    matrices = {"explicit": train, "implicit": matrix.above(train)}
-    return experiments.combination_sweep(_four_sources(spark, sf, train), matrices, _part(parts, "valid"), 10)
+    """Eleven subsets of four similarities times two prediction matrices, one pass over the block products.
 
+    The implicit matrix is the train part of the implicit split and is held against that split's hold-out.
+    """
+    parts, liked_parts = _parts(spark, sf), _implicit_parts(spark, sf)
+    train, liked = _part(parts, "train"), _part(liked_parts, "train")
+    explicit, uc = _two_sources(spark, sf, train, liked)
+    sources = [explicit, knn.as_matrix(liked), uc, knn.as_matrix(matrix.visits(train))]
+    return experiments.combination_sweep(sources, {"explicit": train, "implicit": liked}, _truths(explicit=_part(parts, "valid"), implicit=_part(liked_parts, "valid")), 10)
 
-@query()
+
+def _truths(**by_matrix):
+    """Hold-outs of several prediction matrices as one table with the column ``matrix``."""
+    out = None
+    for name, truth in by_matrix.items():
+        one = truth.select(F.lit(name).alias("matrix"), "user_id", "item_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_WEIGHTS = " UNION ALL ".join(f"SELECT '{a:g}/{1 - a:g}' AS recipe, id, nbr, round(CAST({a} AS DOUBLE) * x1 + CAST({1 - a} AS DOUBLE) * x2, 9) AS sim FROM pairs" for a in (0.0, 0.25, 0.5, 0.75, 1.0))
+
+
+@query(f"WITH {_TWO}, {_best_sql(_WEIGHTS)}, {_recipe_map_sql('m', 'train', 'valid')} SELECT recipe, map, ci95, n FROM m")
 def weighted_combinations(spark, sf):
     """Weights of the grid over two similarities, evaluated on the hold-out."""
     parts = _parts(spark, sf)
@@ -384,7 +425,15 @@ def training_size_study_full(spark, sf):
     return experiments.size_study(fixtures.cells(spark, sf), [i / 10 for i in range(1, 11)], experiments.SWEEP_NEIGHBOURS)
 
 
-@query()
+_POPULAR = f"""{BUSINESS}, raters AS (SELECT item_id, count(*) AS rated, count(*) FILTER (value >= 4) AS liked FROM train GROUP BY item_id),
+per_item AS (SELECT l_suppkey AS item_id, count(*) AS c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
+top AS (SELECT 'count' AS recipe, item_id, row_number() OVER (ORDER BY c DESC, item_id) AS rank FROM per_item
+  UNION ALL SELECT 'stars', b.item_id, row_number() OVER (ORDER BY b.stars DESC, b.item_id) FROM business b JOIN raters r ON b.item_id = r.item_id JOIN per_item p ON p.item_id = b.item_id WHERE rated > 50
+  UNION ALL SELECT 'liked', item_id, row_number() OVER (ORDER BY CASE WHEN rated > 30 THEN liked / rated ELSE 0 END DESC, item_id) FROM raters),
+recs AS (SELECT recipe, user_id, rank, item_id FROM top, (SELECT DISTINCT user_id FROM train) WHERE rank <= 50)"""
+
+
+@query(f"WITH {SPLIT}, {_POPULAR}, {map_sql('recs', 'valid', 10, 'recipe')} SELECT recipe, map, ci95, n FROM maps")
 def popularity_baselines(spark, sf):
     parts = _parts(spark, sf)
     counts = fixtures.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("item_id")).agg(F.count(F.lit(1)).alias("review_count"))
@@ -392,14 +441,14 @@ def popularity_baselines(spark, sf):
     return experiments.popularity_baselines(items, _part(parts, "train"), _part(parts, "valid"))
 
 
-def _recipe_sims(spark, sf, train):
-    """Similarity sources the model recipes read, by name."""
-    uc = _uc(spark, sf, train).select(F.col("user_id").alias("row"), F.col("category_id").alias("col"), "value")
+def _recipe_sims(spark, sf, train, liked):
+    """Similarity sources the model recipes read, by name; implicit ones come from the implicit split."""
+    uc = _uc(spark, sf, liked).select(F.col("user_id").alias("row"), F.col("category_id").alias("col"), "value")
     ic = _ic(spark, sf).select(F.col("item_id").alias("row"), F.col("category_id").alias("col"), "value")
     return {
-        "explicit": knn.as_matrix(train), "implicit": knn.as_matrix(matrix.above(train)), "centred": knn.as_matrix(matrix.centre(train)),
+        "explicit": knn.as_matrix(train), "implicit": knn.as_matrix(liked), "centred": knn.as_matrix(matrix.centre(train)),
         "visit": knn.as_matrix(matrix.visits(train)), "user_category": uc, "user_category_implicit": matrix.above(uc),
-        "item_user": knn.as_matrix(train, "item_id", "user_id"), "item_user_implicit": knn.as_matrix(matrix.above(train), "item_id", "user_id"),
+        "item_user": knn.as_matrix(train, "item_id", "user_id"), "item_user_implicit": knn.as_matrix(liked, "item_id", "user_id"),
         "item_category": ic, "item_blocks": _blocks(spark, sf, 1000, train),
     }
 
@@ -417,35 +466,87 @@ RECIPES = {
 }
 
 
-@query()
+def _recipes_sql() -> str:
+    """Neighbours of every source, then one MAP per (prediction matrix, axis) over the recipes that use it."""
+    sources = {
+        "explicit": ("train", "user_id", "item_id"), "implicit": ("itrain", "user_id", "item_id"), "centred": ("centred", "user_id", "item_id"),
+        "visit": ("seen", "user_id", "item_id"), "user_category": ("uc", "user_id", "category_id"), "user_category_implicit": ("uci", "user_id", "category_id"),
+        "item_user": ("train", "item_id", "user_id"), "item_user_implicit": ("itrain", "item_id", "user_id"), "item_category": ("ic", "item_id", "category_id"),
+        "item_blocks": ("blocks", "row", "col"),
+    }
+    targets = {"explicit": ("train", "valid"), "implicit": ("itrain", "ivalid"), "centred": ("centred", "valid"), "visit": ("seen", "valid")}
+    with_ = [SPLIT, IMPLICIT, CATEGORIES, _IC, _UC, _BRAND, _blocks_sql(1000), "uci AS (SELECT user_id, category_id, CAST(1 AS DOUBLE) AS value FROM uc WHERE value > 3)",
+             "seen AS (SELECT user_id, item_id, CAST(1 AS DOUBLE) AS value FROM train WHERE value > 0)",
+             "centred AS (SELECT user_id, item_id, value - avg(value) OVER (PARTITION BY user_id) + CAST(0.001 AS DOUBLE) AS value FROM train)"]
+    for name, (t, r, c) in sources.items():
+        with_ += [sims_sql(t, r, c, f"s_{name}"), top_sql(f"s_{name}", 50, f"n_{name}")]
+    out = []
+    for target, (ratings, truth) in targets.items():
+        for item_based in (False, True):
+            used = [(label, s) for label, (s, m, i) in RECIPES.items() if m == target and i == item_based]
+            if used:
+                name = f"m_{target}_{'item' if item_based else 'user'}"
+                options = " UNION ALL ".join(f"SELECT '{label}' AS recipe, id, nbr, sim FROM n_{s}" for label, s in used)
+                with_.append(f"{name}_n AS ({options})")
+                with_.append(_recipe_map_sql(name, ratings, truth, item_based, f"{name}_n"))
+                out.append(f"SELECT recipe, map, ci95, n FROM {name}")
+    return f"WITH {', '.join(with_)} {' UNION ALL '.join(out)}"
+
+
+@query(_recipes_sql())
 def model_recipes(spark, sf):
     """Hold-out MAP of the model recipes; the user sources share one pass, the item sources another."""
-    parts = _parts(spark, sf)
-    train = _part(parts, "train")
-    sources = _recipe_sims(spark, sf, train)
-    ratings = {"explicit": train, "implicit": matrix.above(train), "centred": matrix.centre(train), "visit": matrix.visits(train)}
-    lists = None
+    parts, liked_parts = _parts(spark, sf), _implicit_parts(spark, sf)
+    train, liked = _part(parts, "train"), _part(liked_parts, "train")
+    sources = _recipe_sims(spark, sf, train, liked)
+    ratings = {"explicit": train, "implicit": liked, "centred": matrix.centre(train), "visit": matrix.visits(train)}
+    truths = {"explicit": _part(parts, "valid"), "implicit": _part(liked_parts, "valid")}
+    lists = {"explicit": None, "implicit": None}
     for item_based in (False, True):
         names = sorted({s for s, _, i in RECIPES.values() if i == item_based})
         nbrs = cut(neighbours([sources[n] for n in names], 50, [Recipe(n, "sum", (i,), (1.0,)) for i, n in enumerate(names)]))
         for label, (source, target, based) in RECIPES.items():
             if based == item_based:
-                one = knn.top_k(knn.score(nbrs.where(F.col("recipe") == source), ratings[target], item_based), train)
+                one = knn.top_k(knn.score(nbrs.where(F.col("recipe") == source), ratings[target], item_based), ratings[target])
                 one = one.select(F.lit(label).alias("recipe"), "user_id", "rank", "item_id")
-                lists = one if lists is None else lists.unionByName(one)
-    return evaluate.map_at(lists, _part(parts, "valid"), 10, ["recipe"])
+                side = "implicit" if target == "implicit" else "explicit"
+                lists[side] = one if lists[side] is None else lists[side].unionByName(one)
+    tables = [evaluate.map_at(lists[side], truths[side], 10, ["recipe"]) for side in lists]
+    return tables[0].unionByName(tables[1])
 
 
-@query()
+def _final_sql() -> str:
+    own = {"Implicit_UserReview": ("ifinal", "user_id", "item_id", 140, "ifinal", "itest", False), "Implicit_Explicit_Combined_UserReview": ("ifinal", "user_id", "item_id", 100, "final", "test", False),
+           "ItemKeyphrase": ("brand", "row", "col", 110, "final", "test", True), "ItemCategory": ("ic", "item_id", "category_id", 130, "final", "test", True)}
+    with_ = [SPLIT, IMPLICIT, CATEGORIES, _IC, _BRAND, BUSINESS, "final AS (SELECT user_id, item_id, value FROM split WHERE split <> 'test')", "ifinal AS (SELECT user_id, item_id, value FROM isplit WHERE split <> 'test')"]
+    out = []
+    for i, (name, (t, r, c, k, ratings, truth, item_based)) in enumerate(own.items()):
+        with_ += [sims_sql(t, r, c, f"s{i}"), top_sql(f"s{i}", k, f"t{i}"), f"n{i} AS (SELECT '{name}' AS recipe, id, nbr, sim FROM t{i})", _recipe_map_sql(f"m{i}", ratings, truth, item_based, f"n{i}")]
+        out.append(f"SELECT recipe, map, ci95, n FROM m{i}")
+    with_.append("""pop AS (SELECT 'Popularity_reviewNumber' AS recipe, user_id, rank, item_id FROM (SELECT l_suppkey AS item_id, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) AS rank
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1), (SELECT DISTINCT user_id FROM final) WHERE rank <= 50)""")
+    with_.append(map_sql("pop", "test", 10, "recipe", "mp"))
+    return f"WITH {', '.join(with_)} {' UNION ALL '.join(out)} UNION ALL SELECT recipe, map, ci95, n FROM mp"
+
+
+@query(_final_sql())
 def final_test_table(spark, sf):
-    """Two recipes trained on train plus valid against the test part."""
-    parts = _parts(spark, sf)
-    final = parts.where(F.col("split") != "test").drop("split")
+    """Five recipes trained on train plus valid against the test part of their own split."""
+    parts, liked_parts = _parts(spark, sf), _implicit_parts(spark, sf)
+    final, liked = (p.where(F.col("split") != "test").drop("split") for p in (parts, liked_parts))
+    test, liked_test = _part(parts, "test"), _part(liked_parts, "test")
+    like = cut(neighbours(knn.as_matrix(liked), 140))
+    ic = _ic(spark, sf).select(F.col("item_id").alias("row"), F.col("category_id").alias("col"), "value")
+    counts = fixtures.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("item_id")).agg(F.count(F.lit(1)).alias("review_count"))
+    popular = recommend.popular_by_count(fixtures.business(spark, sf).join(counts, "item_id"))
     lists = {
-        "user": knn.top_k(knn.score(neighbours(knn.as_matrix(final), 140), final), final),
-        "item": knn.top_k(knn.score(neighbours(knn.as_matrix(final, "item_id", "user_id"), 100), final, True), final),
+        "Implicit_Explicit_Combined_UserReview": knn.top_k(knn.score(like.where(F.col("rank") <= 100), final), final),
+        "ItemKeyphrase": knn.top_k(knn.score(neighbours(_brand_cells(spark, sf), 110), final, True), final),
+        "ItemCategory": knn.top_k(knn.score(neighbours(ic, 130), final, True), final),
+        "Popularity_reviewNumber": recommend.same_for_all(final, popular),
     }
-    return experiments.recipe_table(lists, _part(parts, "test"))
+    own = {"Implicit_UserReview": knn.top_k(knn.score(like, liked), liked)}
+    return experiments.recipe_table(lists, test).unionByName(experiments.recipe_table(own, liked_test))
 
 
 @query()

@@ -468,7 +468,7 @@ def split_by_global_time(spark, sf):
     return split.by_global_time(orders, ["date", "o_orderkey"]).select("o_orderkey", "split")
 
 
-@query()
+@query("""SELECT CASE WHEN CAST('0x' || substr(md5('66/' || doc_id), 1, 7) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END AS split, count(*) AS rows FROM documents GROUP BY 1""")
 def split_by_hash(spark, sf):
     return split.by_hash(fixtures.documents(spark, sf).select("review_id"), "review_id").groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 

@@ -166,7 +166,8 @@ def item_keyword_counts(spark, sf):
     return matrix.keyed_terms(counts, "item", binary=False)
 
 
-@query("""WITH t AS (SELECT source, doc_id, text FROM documents) SELECT source AS item, 0 AS part, count(*) AS reviews, md5(string_agg(text, ' ' ORDER BY doc_id)) AS text_md5 FROM t GROUP BY source""")
+@query("""WITH t AS (SELECT source, doc_id, text, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 1000 AS part FROM documents)
+SELECT source AS item, CAST(part AS INT) AS part, count(*) AS reviews, md5(string_agg(text, ' ' ORDER BY doc_id)) AS text_md5 FROM t GROUP BY source, part""")
 def item_texts(spark, sf):
     parts = vectors.concat_texts(_docs(spark, sf), "item", "review_id")
     return parts.select("item", "part", "reviews", F.md5("text").alias("text_md5"))

@@ -47,6 +47,17 @@ train AS (SELECT user_id, item_id, value, ts FROM split WHERE split = 'train'),
 valid AS (SELECT user_id, item_id FROM split WHERE split = 'valid'),
 test AS (SELECT user_id, item_id FROM split WHERE split = 'test')"""
 
+#: The split of the liked cells alone, to follow ``SPLIT``.
+IMPLICIT = """iranked AS (
+  SELECT user_id, item_id, CAST(1 AS DOUBLE) AS value, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n
+  FROM cells WHERE value > 3),
+isplit AS (
+  SELECT *, CASE WHEN pos > n - floor(n * CAST(0.3 AS DOUBLE)) THEN 'test'
+                 WHEN pos > n - floor(n * (CAST(0.2 AS DOUBLE) + CAST(0.3 AS DOUBLE))) THEN 'valid' ELSE 'train' END AS split FROM iranked),
+itrain AS (SELECT user_id, item_id, value FROM isplit WHERE split = 'train'),
+ivalid AS (SELECT user_id, item_id FROM isplit WHERE split = 'valid'),
+itest AS (SELECT user_id, item_id FROM isplit WHERE split = 'test')"""
+
 BUSINESS = """business AS (
   SELECT s_suppkey AS item_id, s_name AS name, n_name AS city, r_name AS state, CAST(1 + (s_suppkey % 9) * 0.5 AS DOUBLE) AS stars,
          CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE repeat('$', CAST(1 + s_suppkey % 4 AS INT)) END AS price,

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tastemark.operators import ranking, split
+from tastemark.operators import knn, ranking, split
 from tastemark.sources import writers
 
 
@@ -34,7 +34,7 @@ def test_split_small_users_and_equal_times(spark):
 
 def test_split_of_a_hot_user_is_the_same_piece_by_piece(spark):
     data, df = cells(spark, {1: 200, 2: 5, 3: 9})
-    got = rows(split.by_user_time(df.repartition(16), hot_rows=8), "user_id", "item_id", "split")
+    got = rows(split.by_user_time(df.repartition(16)), "user_id", "item_id", "split")
     assert got == expected_split(data)
 
 
@@ -80,3 +80,19 @@ def test_global_split_and_slices(spark):
     assert out.where("split = 'train'").count() == 83  # ceil(0.8 * 103)
     sizes = dict(writers.with_slice(df, ["id"], 10).groupBy("slice").count().collect())
     assert sizes == {**{i: 10 for i in range(10)}, 10: 3}
+
+
+def test_one_hot_user_with_distinct_scores_is_ranked_in_many_ranges(spark):
+    scores = spark.range(20_000).select(F.lit(1).alias("user_id"), F.col("id").alias("item_id"), F.pmod(F.col("id") * 7919, F.lit(20_011)).cast("double").alias("score"))
+    order = [F.col("score").desc(), F.col("item_id")]
+    sizes = [r["count"] for r in ranking._ranged(scores, [F.col("user_id"), *order], 8).groupBy("_piece").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 5_000
+    want = [r["item_id"] for r in scores.orderBy(*order).collect()]
+    assert [r["item_id"] for r in ranking.group_rank(scores, ["user_id"], order, pieces=8).orderBy("pos").collect()] == want
+    assert [r["item_id"] for r in knn.full_ranking(scores).orderBy("rank").collect()] == want
+
+
+def test_null_groups_are_ranked(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), (1, 2)], "g int, x int")
+    got = ranking.group_rank(df, ["g"], [F.col("x")]).select("g", "x", "pos", "n").orderBy("g", "x").collect()
+    assert [tuple(r) for r in got] == [(None, 1, 1, 2), (None, 3, 2, 2), (1, 2, 1, 1)]
