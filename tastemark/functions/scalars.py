@@ -114,7 +114,5 @@ def replace_all(text: Column, pairs: Mapping[str, str]) -> Column:
 
 
 def literal_map(values: Mapping) -> Column:
-    """A small lookup table as a map literal."""
-    if len(values) > 2_000:
-        raise ValueError("join a table instead of a literal above 2,000 entries")
+    """A short fixed lookup table as a map literal; large tables are joined with ``operators.lookup``."""
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])

@@ -414,12 +414,30 @@ def k_sweep_items(spark, sf):
     return experiments.k_sweep(nbrs, train, _part(parts, "valid"), item_based=True)
 
 
-@query()
+def _size_sql(shares, ks) -> str:
+    """Sweep on valid for every share of the train part, the best size per share, and that size on test."""
+    sums = ", ".join(f"round(sum(n.sim * t.value) FILTER (n.rank <= {k}), 9) AS k{k}" for k in ks)
+    long = " UNION ALL ".join(f"SELECT share, {k} AS k, user_id, item_id, k{k} AS score FROM wide WHERE k{k} IS NOT NULL" for k in ks)
+    values = ", ".join(f"(CAST({s} AS DOUBLE))" for s in shares)
+    return f"""WITH {SPLIT}, sized AS (SELECT *, n - floor(n * (CAST(0.2 AS DOUBLE) + CAST(0.3 AS DOUBLE))) AS m FROM ranked),
+t AS (SELECT share, user_id, item_id, value FROM sized, (VALUES {values}) AS v(share) WHERE pos <= m AND pos > m - floor(m * share)),
+unit AS (SELECT share, user_id, item_id, value / sqrt(sum(value * value) OVER (PARTITION BY share, user_id)) AS v FROM t WHERE value <> 0),
+sims AS (SELECT a.share, a.user_id AS id, b.user_id AS nbr, round(sum(a.v * b.v), 9) AS sim FROM unit a JOIN unit b ON a.share = b.share AND a.item_id = b.item_id AND a.user_id <> b.user_id GROUP BY ALL),
+nbrs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY share, id ORDER BY sim DESC, nbr) AS rank FROM sims WHERE sim > 0) WHERE rank <= {max(ks)}),
+wide AS (SELECT n.share, n.id AS user_id, t.item_id, {sums} FROM nbrs n JOIN t ON n.share = t.share AND n.nbr = t.user_id
+  WHERE NOT EXISTS (SELECT 1 FROM t o WHERE o.share = n.share AND o.user_id = n.id AND o.item_id = t.item_id) GROUP BY ALL),
+recs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY share, k, user_id ORDER BY score DESC, item_id) AS rank FROM ({long})) WHERE rank <= 50),
+{map_sql('recs', 'valid', 10, 'share, k', 'mv')}, {map_sql('recs', 'test', 10, 'share, k', 'mt')},
+best AS (SELECT share, k, map FROM mv QUALIFY row_number() OVER (PARTITION BY share ORDER BY map DESC, k) = 1)
+SELECT best.share, CAST(best.k AS INT) AS k, best.map, mt.map AS test_map FROM best JOIN mt ON best.share = mt.share AND best.k = mt.k"""
+
+
+@query(_size_sql((0.25, 0.5, 0.75, 1.0), (10, 20, 40)))
 def training_size_study(spark, sf):
     return experiments.size_study(fixtures.cells(spark, sf), (0.25, 0.5, 0.75, 1.0), (10, 20, 40))
 
 
-@query()
+@query(_size_sql([i / 10 for i in range(1, 11)], experiments.SWEEP_NEIGHBOURS))
 def training_size_study_full(spark, sf):
     """Ten training sizes times seven neighbourhood sizes."""
     return experiments.size_study(fixtures.cells(spark, sf), [i / 10 for i in range(1, 11)], experiments.SWEEP_NEIGHBOURS)
