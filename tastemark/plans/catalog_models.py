@@ -349,7 +349,8 @@ def fitted_neighbours(spark, sf):
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
 
-def _metrics_sql() -> str:
+def _metrics_sql(size: str = "count(*)", per_user: bool = False) -> str:
+    """``size``: what the interval's root is taken of."""
     ks = (5, 10, 15, 20, 50)
     cols = []
     for k in ks:
@@ -363,16 +364,18 @@ def _metrics_sql() -> str:
         for label, c in (("MAP", "map"), ("Precision", "prec"), ("Recall", "rec")):
             out.append(f"SELECT '{label}' AS name, {k} AS k, {c}{k} AS v FROM u")
     out += ["SELECT 'R-Precision', NULL, rprec FROM u", "SELECT 'NDCG', NULL, ndcg FROM u", "SELECT 'Clicks', NULL, clicks FROM u"]
-    return f"""WITH {_USER_KNN}, {score_sql('nbrs', 'train')}, {lists_sql('scores', 'train', 50)},
+    users = f"""WITH {_USER_KNN}, {score_sql('nbrs', 'train')}, {lists_sql('scores', 'train', 50)},
 truth AS (SELECT user_id, count(*) AS n_true FROM valid GROUP BY user_id),
 h AS (SELECT r.user_id, r.rank, n_true, CASE WHEN v.item_id IS NULL THEN 0 ELSE 1 END AS hit, count(*) OVER (PARTITION BY r.user_id) AS len
   FROM recs r JOIN truth t ON r.user_id = t.user_id LEFT JOIN valid v ON r.user_id = v.user_id AND r.item_id = v.item_id),
 hc AS (SELECT *, CAST(sum(hit) OVER (PARTITION BY user_id ORDER BY rank) AS DOUBLE) AS c FROM h),
 u AS (SELECT user_id, {', '.join(cols)}, CAST(sum(CASE WHEN rank <= n_true THEN hit END) AS DOUBLE) / max(n_true) AS rprec,
   sum(hit / log2(rank + 1)) / (SELECT sum(1 / log2(p + 1)) FROM range(1, 2000) AS g(p) WHERE p <= max(hc.n_true)) AS ndcg,
-  coalesce((min(CASE WHEN hit = 1 THEN rank END) - 1) / 10, 5) AS clicks FROM hc GROUP BY user_id),
-long AS ({' UNION ALL '.join(out)})
-SELECT name, CAST(k AS INT) AS k, round(avg(v), 6) AS mean, round(1.96 * stddev_pop(v) / sqrt(count(*)), 6) AS ci95, count(*) AS n FROM long GROUP BY name, k"""
+  coalesce((min(CASE WHEN hit = 1 THEN rank END) - 1) / 10, 5) AS clicks FROM hc GROUP BY user_id)"""
+    if per_user:
+        return users + " SELECT user_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("map10", "prec10", "rec10", "rprec", "ndcg", "clicks")) + " FROM u"
+    return f"""{users}, long AS ({' UNION ALL '.join(out)})
+SELECT name, CAST(k AS INT) AS k, round(avg(v), 6) AS mean, round(1.96 * stddev_pop(v) / sqrt({size}), 6) AS ci95, count(*) AS n FROM long GROUP BY name, k"""
 
 
 @query(_metrics_sql())
@@ -382,6 +385,23 @@ def ranking_metrics(spark, sf):
     return evaluate.metrics(lists, _part(parts, "valid"), digits=6)
 
 
+@query(_metrics_sql("(SELECT count(DISTINCT user_id) FROM cells)"))
+def ranking_metrics_over_all_users(spark, sf):
+    """The interval divides by the number of all users, evaluated or not."""
+    parts = _parts(spark, sf)
+    lists = flagship.user_knn_lists(_part(parts, "train"), 10, 50)
+    return evaluate.metrics(lists, _part(parts, "valid"), n_users=parts.select("user_id").distinct().count(), digits=6)
+
+
+@query(_metrics_sql(per_user=True))
+def per_user_metrics(spark, sf):
+    parts = _parts(spark, sf)
+    lists = flagship.user_knn_lists(_part(parts, "train"), 10, 50)
+    users = evaluate.per_user(lists, _part(parts, "valid"), (10,))
+    names = {"map10": "MAP@10", "prec10": "Precision@10", "rec10": "Recall@10", "rprec": "R-Precision", "ndcg": "NDCG", "clicks": "Clicks"}
+    return users.select("user_id", *[F.round(F.col(f"`{name}`").cast("double"), 6).alias(short) for short, name in names.items()])
+
+
 @query(f"""WITH {_USER_KNN}, {score_sql('nbrs', 'train')}, {lists_sql('scores', 'train', 50)}, {map_sql('recs', 'valid')} SELECT map, ci95, n FROM maps""")
 def map_of_single_k(spark, sf):
     parts = _parts(spark, sf)

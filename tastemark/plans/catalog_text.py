@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tastemark.functions import textual
 from tastemark.lookups import COMPOUNDS, CONTRACTIONS, HIGHLIGHT_NOUN_STOP, STOP_WORDS, STOP_WORDS_EXTRA
-from tastemark.operators import aggregates, classify, critique, evaluate, highlights, knn, matrix, recommend, split, vectors
+from tastemark.operators import aggregates, classify, critique, evaluate, highlights, knn, lookup, matrix, recommend, split, vectors
 from tastemark.operators.similarity import neighbours
 from tastemark.plans import fixtures
 from tastemark.plans.registry import literal_list, query, sims_sql, top_sql
@@ -51,6 +51,18 @@ def clean_reviews(spark, sf):
     return w.select("review_id", F.md5(F.array_join("w", " ")).alias("text_md5"), F.size("w").cast("long").alias("words"))
 
 
+@query(f"""WITH {CLEAN}, known AS (SELECT DISTINCT term FROM words)
+SELECT doc_id AS review_id, md5(string_agg(CASE WHEN length(w.term) > 3 AND ends_with(w.term, 's') THEN coalesce(k.term, w.term) ELSE w.term END, ' ' ORDER BY i)) AS text_md5, count(*) AS words
+FROM words w LEFT JOIN known k ON w.term = k.term || 's' GROUP BY doc_id""")
+def clean_reviews_with_lemmas(spark, sf):
+    """Lemmas from a joined table: a word in ``s`` becomes the word without it where the corpus has that one."""
+    rows = _clean_docs(spark, sf).where(F.size("words") > 0)
+    known = rows.select(F.explode("words").alias("lemma")).distinct()
+    table = known.select(F.concat("lemma", F.lit("s")).alias("word"), "lemma").where(F.length("word") > 3)
+    done = lookup.lemmatised(rows, "words", table, ["review_id"])
+    return done.select("review_id", F.md5(F.array_join("words", " ")).alias("text_md5"), F.size("words").cast("long").alias("words"))
+
+
 def _expand_sql(column: str) -> str:
     for old, new in {**CONTRACTIONS, **COMPOUNDS}.items():
         column = "replace({}, '{}', '{}')".format(column, old.replace("'", "''"), new.replace("'", "''"))
