@@ -133,17 +133,9 @@ def acceptable(word: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
     return F.length(word).between(2, 40) & ~F.lower(word).isin(*stop)
 
 
-def normalise_word(word: Column, lemmas: Mapping[str, str] | None = None) -> Column:
-    """Lower case and lemma; ``was`` keeps its form."""
-    lower = F.lower(word)
-    if not lemmas:
-        return lower
-    return F.when(lower == "was", lower).otherwise(F.coalesce(F.try_element_at(literal_map(lemmas), lower), lower))
-
-
-def accepted_words(words: Column, lemmas: Mapping[str, str] | None = None) -> Column:
-    """Acceptable words in normal form."""
-    return F.transform(F.filter(words, lambda w: acceptable(w)), lambda w: normalise_word(w, lemmas))
+def accepted_words(words: Column) -> Column:
+    """Acceptable words in lower case."""
+    return F.transform(F.filter(words, lambda w: acceptable(w)), lambda w: F.lower(w))
 
 
 # --- tags and phrase patterns -------------------------------------------------------------------------------------
@@ -204,23 +196,23 @@ NEGATORS = ("not", "no", "never", "none", "nor", "cannot", "without", "nothing",
 
 
 def compound(words: Column, lexicon: Mapping[str, float], negators: Sequence[str] = NEGATORS) -> Column:
-    """Compound sentiment ``s / sqrt(s * s + 15)`` of a word array, 4 decimals.
-
-    ``s`` adds the valences; a negator among the three words before flips and damps a valence.
-    """
+    """``compound_of`` with the valences of a short fixed lexicon; larger ones are joined by ``operators.lookup``."""
     table = literal_map({w: float(v) for w, v in lexicon.items()})
+    return bind(words, lambda ws: compound_of(ws, F.transform(ws, lambda w: F.try_element_at(table, w)), negators))
+
 
-    def score(ws: Column) -> Column:
-        denied = F.transform(ws, lambda w: w.isin(*negators))
+def compound_of(words: Column, valences: Column, negators: Sequence[str] = NEGATORS) -> Column:
+    """Compound sentiment ``s / sqrt(s * s + 15)`` of a word array and its valences (null: none), 4 decimals.
 
-        def valence(word: Column, i: Column, deny: Column) -> Column:
-            v = F.try_element_at(table, word)
-            start = F.greatest(i - 2, F.lit(1))
-            negated = F.array_contains(F.slice(deny, start, i + 1 - start), F.lit(True))
-            return F.when(v.isNull() | (v == 0), F.lit(0.0)).when(negated, v * NEGATION_FACTOR).otherwise(v)
+    ``s`` adds the valences; a negator among the three words before flips and damps a valence.
+    """
+    denied = F.transform(words, lambda w: w.isin(*negators))
 
-        values = bind(denied, lambda deny: F.transform(ws, lambda w, i: valence(w, i, deny)))
-        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    def valence(v: Column, i: Column, deny: Column) -> Column:
+        start = F.greatest(i - 2, F.lit(1))
+        negated = F.array_contains(F.slice(deny, start, i + 1 - start), F.lit(True))
+        return F.when(v.isNull() | (v == 0), F.lit(0.0)).when(negated, v * NEGATION_FACTOR).otherwise(v)
 
-    total = bind(words, score)
+    values = bind(denied, lambda deny: F.transform(valences, lambda v, i: valence(v, i, deny)))
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
     return bind(total, lambda s: F.round(s / F.sqrt(s * s + F.lit(COMPOUND_ALPHA)), 4))

@@ -32,6 +32,19 @@ def scan_json_lines(spark, sf):
     return df.select("review_id", "business_id", F.md5("review_text").alias("text_md5"), F.length("review_text").cast("long").alias("chars"))
 
 
+@query("SELECT n_nationkey AS nation, count(*) AS records, CAST(sum(s_suppkey) AS BIGINT) AS keys, min(s_name) AS first_name FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+def scan_json_array(spark, sf):
+    """One file with a JSON array per nation, written and read back."""
+    suppliers = fixtures.table(spark, sf, "supplier")
+    record = F.to_json(F.struct("s_suppkey", "s_name", "s_nationkey"))
+    arrays = suppliers.groupBy("s_nationkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]")).alias("value"))
+    path = _folder(spark)
+    arrays.write.partitionBy("s_nationkey").text(path)
+    schema = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_name", T.StringType()), T.StructField("s_nationkey", T.LongType())])
+    df = readers.json_array(spark, os.path.join(path, "*"), schema)
+    return df.groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("records"), F.sum("s_suppkey").alias("keys"), F.min("s_name").alias("first_name"))
+
+
 @query("SELECT doc_id AS review_id, md5(text) AS text_md5 FROM documents")
 def scan_csv_columns(spark, sf):
     path = _folder(spark)
@@ -256,7 +269,18 @@ def origin_distances(spark, sf):
     return recommend.item_distances(fixtures.business(spark, sf), ellipsoid=False)
 
 
-@query()
+# latitudes reduced to the auxiliary sphere, the central angle on it, then the flattening correction
+_ELLIPSOID = """reduced AS (SELECT o.origin, b.item_id, atan((1 - {f}) * tan(radians(o.olat))) AS b1, atan((1 - {f}) * tan(radians(b.lat))) AS b2, radians(b.lon - o.olon) AS dl
+  FROM business b, (VALUES {o}) AS o(origin, olat, olon)),
+angled AS (SELECT *, 2 * asin(least(1.0, sqrt(pow(sin((b2 - b1) / 2), 2) + cos(b1) * cos(b2) * pow(sin(dl / 2), 2)))) AS s FROM reduced),
+terms AS (SELECT *, (s - sin(s)) * pow(sin((b1 + b2) / 2) * cos((b2 - b1) / 2), 2) / pow(cos(s / 2), 2) AS x,
+  (s + sin(s)) * pow(cos((b1 + b2) / 2) * sin((b2 - b1) / 2), 2) / pow(sin(s / 2), 2) AS y FROM angled)
+SELECT origin, item_id, CASE WHEN s = 0 THEN 0 ELSE round(CAST(6378.137 AS DOUBLE) * (s - {f} / 2 * (x + y)), 1) END AS km FROM terms""".format(
+    f="(CAST(1 AS DOUBLE) / CAST(298.257223563 AS DOUBLE))", o=", ".join(f"('{n}', CAST({a} AS DOUBLE), CAST({o} AS DOUBLE))" for n, a, o in ORIGINS)
+)
+
+
+@query(f"WITH {BUSINESS}, {_ELLIPSOID}")
 def origin_distances_ellipsoid(spark, sf):
     return recommend.item_distances(fixtures.business(spark, sf))
 

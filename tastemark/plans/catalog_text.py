@@ -13,7 +13,7 @@ from tastemark.lookups import COMPOUNDS, CONTRACTIONS, HIGHLIGHT_NOUN_STOP, STOP
 from tastemark.operators import aggregates, classify, critique, evaluate, highlights, knn, lookup, matrix, recommend, split, vectors
 from tastemark.operators.similarity import neighbours
 from tastemark.plans import fixtures
-from tastemark.plans.registry import literal_list, query, sims_sql, top_sql
+from tastemark.plans.registry import lists_sql, literal_list, map_sql, query, score_sql, sims_sql, top_sql
 from tastemark.session import cut, shared_folder
 from tastemark.streaming import critique_stream
 
@@ -69,18 +69,16 @@ def _expand_sql(column: str) -> str:
     return column
 
 
-# names as sentences with compounds and contractions in them
-_SENTENCE_SQL = "'it''s a ' || p_name || ' with ice cream, don''t miss the hotpot at ' || lower(p_type)"
+# every entry of the table before and after the whole text, since invented texts have few contractions of their own
+_ALL_FORMS = " ".join([*CONTRACTIONS, *COMPOUNDS])
+_FORMS_SQL = "'{0} ' || coalesce(text, '') || ' {0}'".format(_ALL_FORMS.replace("'", "''"))
 
 
-def _sentences(spark, sf):
-    text = F.concat(F.lit("it's a "), "p_name", F.lit(" with ice cream, don't miss the hotpot at "), F.lower("p_type"))
-    return fixtures.table(spark, sf, "part").select(F.col("p_partkey").alias("review_id"), text.alias("text"))
-
-
-@query(f"SELECT p_partkey AS review_id, {_expand_sql(_SENTENCE_SQL)} AS text FROM part")
+@query(f"SELECT doc_id AS review_id, md5({_expand_sql(_FORMS_SQL)}) AS text_md5, length({_expand_sql('text')}) AS chars FROM documents")
 def expand_contractions(spark, sf):
-    return _sentences(spark, sf).select("review_id", textual.expand_contractions(F.col("text")).alias("text"))
+    text = F.concat(F.lit(f"{_ALL_FORMS} "), F.coalesce("text", F.lit("")), F.lit(f" {_ALL_FORMS}"))
+    expand = textual.expand_contractions
+    return _docs(spark, sf).select("review_id", F.md5(expand(text)).alias("text_md5"), F.char_length(expand(F.col("text"))).cast("long").alias("chars"))
 
 
 @query(f"SELECT doc_id AS review_id, CAST(len(t) AS BIGINT) AS tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, regexp_extract_all(text, '{TOKENS}') AS t FROM documents)")
@@ -223,8 +221,7 @@ def _features(spark, sf, folds=False):
     rows = model.transform(data).select("review_id", "label", "split", "features")
     if folds:
         rows = classify.with_folds(rows.where(F.col("split") == "train"), "review_id")
-    # iterative fits read the features many times
-    rows = rows.persist()
+    rows = cut(rows)  # iterative fits read the features many times
     return rows, vocab, rows.where(F.col("split") == "train").count()
 
 
@@ -274,8 +271,8 @@ def logistic_grid_search(spark, sf):
 @query()
 def forest_grid_search(spark, sf):
     rows, _, _ = _features(spark, sf, folds=True)
-    rf = classify.forest(depth=10)
-    return classify.grid_search(rows, rf, classify.forest_grid(rf, (5, 15), (1, 5)))
+    rf = classify.forest(depth=10)  # 80 fits; deeper trees take more passes over the rows each
+    return classify.grid_search(rows, rf, classify.forest_grid(rf))
 
 
 @query()
@@ -295,6 +292,10 @@ def _tagger():
     return textual.tagger({}, SUFFIXES)
 
 
+def _valences(spark):
+    return spark.createDataFrame(list(LEXICON.items()), "word string, valence double")
+
+
 _TAG = "CASE {w} " + " ".join(f"WHEN '{w}' THEN '{t}'" for w, t in textual.CLOSED_CLASS.items()) + " ELSE CASE " + " ".join(
     f"WHEN ends_with({{w}}, '{s}') AND length({{w}}) > {len(s)} THEN '{t}'" for s, t in SUFFIXES) + " ELSE 'O' END END"
 _PHRASE_STOP = literal_list([w for w in STOP_WORDS if w not in ("is", "was", "are", "were")])
@@ -327,6 +328,15 @@ def candidate_phrases(spark, sf):
     return highlights.phrases(_tokens(spark, sf), _tagger())
 
 
+@query(f"WITH {_phrases_sql()}, {_NOUNS_SQL} SELECT item, noun FROM nouns")
+def phrase_nouns_by_tag_table(spark, sf):
+    """Phrases and nouns with the tags of a joined table that holds every word of the corpus."""
+    tokens = _tokens(spark, sf)
+    known = tokens.select(F.explode("words").alias("word")).distinct()
+    tags = highlights.TagTable(cut(known.select("word", _tagger()(F.col("word")).alias("tag"))))
+    return highlights.nouns(highlights.phrases(tokens, tags), tags)
+
+
 @query(f"WITH {_phrases_sql()}, {_NOUNS_SQL} SELECT item, noun FROM nouns")
 def phrase_nouns(spark, sf):
     return highlights.nouns(highlights.phrases(_tokens(spark, sf), _tagger()), _tagger())
@@ -367,10 +377,10 @@ def _compound_sql(words: str, source: str, keys: str, name: str) -> str:
 @query(f"WITH {_phrases_sql()}, {_compound_sql(chr(39).join(['string_split(phrase, ', ' ', ')']), 'phrases', 'item, phrase', 'ps')} SELECT item, phrase, sentiment FROM ps")
 def phrase_sentiment(spark, sf):
     found = highlights.phrases(_tokens(spark, sf), _tagger())
-    return highlights.phrase_sentiment(found, LEXICON).select("item", "phrase", "sentiment")
+    return highlights.phrase_sentiment(found, _valences(spark)).select("item", "phrase", "sentiment")
 
 
-@query(f"""WITH {_phrases_sql()}, {_NOUNS_SQL}, {_NOUN_SCORES_SQL}, {_HELD}, {_compound_sql(chr(39).join(['string_split(phrase, ', ' ', ')']), 'held', 'item, phrase', 'ps')},
+_FINAL_SQL = f"""{_phrases_sql()}, {_NOUNS_SQL}, {_NOUN_SCORES_SQL}, {_HELD}, {_compound_sql(chr(39).join(['string_split(phrase, ', ' ', ')']), 'held', 'item, phrase', 'ps')},
 opt AS (SELECT h.item, n.noun_rank, n.noun, h.phrase, row_number() OVER (PARTITION BY h.item, n.noun_rank ORDER BY sentiment DESC, pattern, h.phrase) AS place
   FROM held h JOIN ps USING (item, phrase) JOIN top_nouns n ON h.item = n.item AND list_contains(string_split(h.phrase, ' '), n.noun)),
 one AS (SELECT item, noun_rank, noun, phrase FROM opt WHERE noun_rank = 1 AND place = 1),
@@ -378,18 +388,22 @@ two AS (SELECT item, noun_rank, noun, phrase FROM (SELECT *, row_number() OVER (
 three AS (SELECT item, noun_rank, noun, phrase FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY place) AS r FROM opt WHERE noun_rank = 3
   AND (item, phrase) NOT IN (SELECT item, phrase FROM one) AND (item, phrase) NOT IN (SELECT item, phrase FROM two)) WHERE r = 1),
 fin AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three),
-tidy AS (SELECT item, noun_rank, noun, string_split(replace(replace(replace(replace(replace(phrase, 'was', 'is'), 'were', 'are'), 'also', ''), 'still', ''), 'actual', ''), ' ') AS ws FROM fin)
-SELECT item, CAST(noun_rank AS INT) AS noun_rank, noun, array_to_string(list_filter(ws, lambda w, i: w <> '' AND list_position(ws, w) = i), ' ') AS phrase FROM tidy""")
+tidy AS (SELECT item, noun_rank, noun, string_split(replace(replace(replace(replace(replace(phrase, 'was', 'is'), 'were', 'are'), 'also', ''), 'still', ''), 'actual', ''), ' ') AS ws FROM fin),
+final AS (SELECT item, CAST(noun_rank AS INT) AS noun_rank, noun, array_to_string(list_filter(ws, lambda w, i: w <> '' AND list_position(ws, w) = i), ' ') AS phrase FROM tidy)"""
+
+
+@query(f"WITH {_FINAL_SQL} SELECT item, noun_rank, noun, phrase FROM final")
 def highlight_phrases(spark, sf):
     tokens, found, scores = _scored(spark, sf)
     best = highlights.top_nouns(scores)
-    held = highlights.phrase_sentiment(highlights.phrases_with_nouns(found, best), LEXICON)
+    held = highlights.phrase_sentiment(highlights.phrases_with_nouns(found, best), _valences(spark))
     return highlights.final_phrases(held, best)
 
 
-@query()
+@query(f"""WITH {_FINAL_SQL} SELECT item, string_agg(phrase, ' and ' ORDER BY noun_rank) AS explanation
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY noun_rank) AS place FROM final) WHERE place <= 2 GROUP BY item""")
 def explanations(spark, sf):
-    return highlights.explain(highlights.highlight(_docs(spark, sf), _tagger(), LEXICON))
+    return highlights.explain(highlights.highlight(_docs(spark, sf), _tagger(), _valences(spark)))
 
 
 @query(f"""WITH {_phrases_sql()}, {_NOUNS_SQL}, {_NOUN_SCORES_SQL},
@@ -412,7 +426,7 @@ def _in_context(spark, sf, sentences):
     _, found, scores = _scored(spark, sf)
     held = cut(highlights.phrases_with_nouns(found, highlights.top_nouns(scores)))
     units = cut(highlights.text_units(_docs(spark, sf), sentences))
-    return highlights.sentiment_in_context(held, units, LEXICON)
+    return highlights.sentiment_in_context(held, units, _valences(spark))
 
 
 @query(_context_sql("SELECT source AS item, CAST(doc_id AS VARCHAR) AS unit, lower(text) AS text FROM documents"))
@@ -497,7 +511,14 @@ def critique_stream_answers(spark, sf):
     return spark.read.schema(answers.schema).parquet(os.path.join(folder, "out"))
 
 
-@query()
+_EVENT_SPLIT = """cells AS (SELECT user_id, event_id % 20 AS item_id, sum(CAST(value AS DOUBLE)) AS value, max(CAST(floor(epoch(ts)) AS BIGINT)) AS ts FROM events GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM cells),
+parts AS (SELECT *, CASE WHEN pos > n - floor(n * CAST(0.3 AS DOUBLE)) THEN 'test' WHEN pos > n - floor(n * (CAST(0.2 AS DOUBLE) + CAST(0.3 AS DOUBLE))) THEN 'valid' ELSE 'train' END AS split FROM ranked),
+train AS (SELECT user_id, item_id, value FROM parts WHERE split = 'train'), valid AS (SELECT user_id, item_id FROM parts WHERE split = 'valid')"""
+
+
+@query(f"""WITH {_ITEM_TEXT_SIMS.replace("rank <= 5", "rank <= 10")}, {_EVENT_SPLIT}, {score_sql('nbrs', 'train', True)}, {lists_sql('scores', 'train', 50)}, {map_sql('recs', 'valid')}
+SELECT map, ci95, n FROM maps""")
 def text_recipe(spark, sf):
     """Item keywords as the similarity source: items are the text sources, users are the event users rating them."""
     events = fixtures.table(spark, sf, "events")
