@@ -106,7 +106,7 @@ def with_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 66) -> DataF
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int"))
 
 
-def cross_validated(df: DataFrame, estimator, grid: Sequence | None = None, folds: int = 5, parallelism: int = 4):
+def cross_validated(df: DataFrame, estimator, grid: Sequence | None = None, folds: int = 5, parallelism: int = 8):
     """Cross-validation by accuracy over the ``fold`` column."""
     scorer = MulticlassClassificationEvaluator(metricName="accuracy")
     return CrossValidator(

@@ -11,7 +11,8 @@ from tastemark.functions.scalars import distance_km
 from tastemark.lookups import LIST_LENGTH, ORIGINS
 from tastemark.operators.ranking import top_per_group, top_rows
 
-MAX_LIST = 10_000
+#: Parts of the users that a list for all of them is joined to.
+DEALS = 64
 
 
 def rater_counts(ratings: DataFrame, liked_at: float = 4) -> DataFrame:
@@ -41,14 +42,11 @@ def popular_by_liked(ratings: DataFrame, min_raters: int = 30, ascending: bool =
 
 
 def same_for_all(users: DataFrame, ranked: DataFrame, k: int = LIST_LENGTH) -> DataFrame:
-    """One short list for every user. The list (at most ``k`` rows) becomes a literal, so no join is needed."""
-    if k > MAX_LIST:
-        raise ValueError(f"a list for every user may hold {MAX_LIST} items at most")
-    rows = ranked.where(F.col("rank") <= k).select("rank", F.col("item_id").cast("long")).collect()
-    cells = [F.struct(F.lit(r[0]).cast("int").alias("rank"), F.lit(r[1]).cast("long").alias("item_id")) for r in rows]
-    if not cells:
-        return users.select("user_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("item_id")).limit(0)
-    return users.select("user_id").distinct().select("user_id", F.explode(F.array(*cells)).alias("r")).select("user_id", "r.*")
+    """The first ``k`` items of one list for every user, at any ``k``: the list is copied to every part of the users."""
+    parts = users.select("user_id").distinct().withColumn("_part", F.pmod(F.xxhash64("user_id"), F.lit(DEALS)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))).alias("_part")
+    copies = ranked.where(F.col("rank") <= k).select(F.col("rank").cast("int").alias("rank"), F.col("item_id").cast("long").alias("item_id"), every)
+    return parts.join(copies, "_part").select("user_id", "rank", "item_id")
 
 
 def item_distances(items: DataFrame, origins: Sequence[tuple[str, float, float]] = ORIGINS, ellipsoid: bool = True) -> DataFrame:

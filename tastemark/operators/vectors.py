@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tastemark.functions.textual import ngram_range
 from tastemark.operators.ranking import group_rank, top_per_group, top_rows
 from tastemark.operators.similarity import normalise
-from tastemark.session import broadcast_bounded
 
 PART_REVIEWS = 1000
 
@@ -59,12 +58,12 @@ def smooth_idf(vocab: DataFrame) -> Column:
     return F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, doc: str, max_features: int = 5000) -> DataFrame:
+def tfidf(counts: DataFrame, vocab: DataFrame, doc: str) -> DataFrame:
     """``(doc, term_id, term, tf, value)``: counts times smooth idf, each text at L2 length 1.
 
-    Apply a train vocabulary to new texts by passing their counts. The vocabulary has ``max_features`` rows at most.
+    Apply a train vocabulary to new texts by passing their counts.
     """
-    weights = broadcast_bounded(vocab.select("term", "term_id", smooth_idf(vocab).alias("_idf")), max_features)
+    weights = vocab.select("term", "term_id", smooth_idf(vocab).alias("_idf"))  # small by its statistics where the vocabulary is
     raw = counts.join(weights, "term").withColumn("value", F.col("tf") * F.col("_idf")).drop("_idf")
     return normalise(raw, [doc]).select(doc, "term_id", "term", "tf", "value")
 
@@ -73,7 +72,7 @@ def fit_tfidf(docs: DataFrame, words: Column, doc: str, max_df: float = 0.9, max
     """Counts, vocabulary and TF-IDF of one corpus."""
     counts = term_counts(docs, words, [doc], low, high)
     vocab = vocabulary(counts, doc, docs.select(doc).distinct(), max_df, max_features)
-    return tfidf(counts, vocab, doc, max_features)
+    return tfidf(counts, vocab, doc)
 
 
 def keywords(vectors: DataFrame, doc: str, k: int = 10) -> DataFrame:

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_session(app: str = "tastemark", cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -67,11 +66,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-MAX_BROADCAST_ROWS = 100_000
-
-
-def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only where the caller can name an upper bound on the rows (a ``limit`` or a fixed table)."""
-    return F.broadcast(df) if max_rows <= MAX_BROADCAST_ROWS else df
