@@ -29,7 +29,7 @@ BUCKET_BITS = 16
 BLOCK = 128
 #: All ASCII bytes but letters become blanks.
 _BLANKS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_KIND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("switches", pa.int64())])
+_KIND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("switches", pa.int64()), ("certainty", pa.float64())])
 
 
 @dataclass
@@ -218,12 +218,12 @@ def _predict(model: Model | None, texts: list[str | None]) -> pa.Array:
     out = []
     for words, post in label_words(model, texts):
         if not post.size or not any(map(_has_letter, words)):
-            out.append({"lang": UNKNOWN, "score": 0.0, "n_words": len(words), "switches": 0})
+            out.append({"lang": UNKNOWN, "score": 0.0, "n_words": len(words), "switches": 0, "certainty": 0.0})
             continue
         share = post.mean(0)
         best = int(np.argmax(np.round(share, 9)))
         top = post.argmax(1)
-        out.append({"lang": model.labels[best], "score": min(1.0, float(share[best])), "n_words": len(words), "switches": int((top[1:] != top[:-1]).sum())})
+        out.append({"lang": model.labels[best], "score": min(1.0, float(share[best])), "n_words": len(words), "switches": int((top[1:] != top[:-1]).sum()), "certainty": min(1.0, float(post.max(1).mean()))})
     return pa.array(out, _KIND)
 
 
@@ -233,10 +233,13 @@ def train(docs: DataFrame, per_label: int = 120, max_chars: int = 6000, label: s
 
 
 def identify(model: Model | None, text: str | Column) -> Column:
-    """Struct (lang, score, n_words, switches) of a text column; score is the mean probability of ``lang`` over all words."""
+    """Struct (lang, score, n_words, switches, certainty) of a text column.
+
+    score is the mean probability of ``lang`` over all words, certainty that of each word's own best label.
+    """
     packed = pickle.dumps(model)
 
-    @arrow_udf("lang string, score double, n_words long, switches long")
+    @arrow_udf("lang string, score double, n_words long, switches long, certainty double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = pickle.loads(packed)
         yield from in_pieces(batches, lambda texts: _predict(fitted, texts), _KIND)
