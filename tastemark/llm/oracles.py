@@ -88,4 +88,15 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN low IS NULL OR page_id = low THEN NULL ELSE low END AS refers_to, true AS valid FROM f JOIN codes USING (h)"""
 
 
-ORACLES = {"op4_secret_ledger": secret_scan(), "op6_path_templates": url_templates(), "op7_suffix_arrays": benchmark_windows(), "op9_warc_zstd": warc_records()}
+def hard_negatives(positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> str:
+    """Every anchor against every row; products of whole numbers are exact as doubles."""
+    return f"""WITH kept AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.id, r.id AS other, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM kept a JOIN kept r ON a.id <> r.id WHERE a.id % 100 = 0),
+pos AS (SELECT id, other AS positive, score AS ps FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, other) <= {positives})
+SELECT id AS anchor_id, positive AS positive_id, row_number() OVER w AS rank, other AS negative_id, ps AS positive_score, score AS negative_score
+FROM pos JOIN scored USING (id) WHERE NOT same AND {low} * ps <= 100 * score AND 100 * score <= {high} * ps
+WINDOW w AS (PARTITION BY id, positive ORDER BY score DESC, other) QUALIFY row_number() OVER w <= {negatives}"""
+
+
+ORACLES = {"op4_secret_ledger": secret_scan(), "op6_path_templates": url_templates(), "op7_suffix_arrays": benchmark_windows(), "op9_warc_zstd": warc_records(), "op11_cover_tree_negatives": hard_negatives()}

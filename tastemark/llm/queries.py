@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemark.llm import backtrack_bpe, bpe, decontam, dialogues, fingerprints, language, oracles, pii, secrets, simhash, toxicity, urls, warc
+from tastemark.llm import backtrack_bpe, bpe, decontam, dialogues, fingerprints, language, negatives, oracles, pii, secrets, simhash, toxicity, urls, warc
 from tastemark.llm.common import remainder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -87,6 +87,11 @@ def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "r.score", F.when(F.col("r.score") >= 0.7, 1).otherwise(0).alias("predicted"), F.size("r.neighbours").alias("n_neighbours"))
 
 
+def op11_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = negatives.vectors(table(spark, sf_dir, "embeddings"))
+    return negatives.mine(rows, rows.where(F.col("id") % 100 == 0), positives=5, negatives=10, low=30, high=90)
+
+
 def op12_backtrack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", backtrack_bpe.round_trip("text", MERGES).alias("r")).select("doc_id", "r.ids", "r.decoded")
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
@@ -99,6 +104,6 @@ def op13_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_crf, op2_pii_anchors, op3_byte_bpe, op4_secret_ledger, op5_simhash_blocks, op6_path_templates, op7_suffix_arrays, op8_prefix_hashes, op9_warc_zstd, op10_toxicity_neighbours, op12_backtrack_bpe, op13_grammar_repair)
+    for f in (op1_language_crf, op2_pii_anchors, op3_byte_bpe, op4_secret_ledger, op5_simhash_blocks, op6_path_templates, op7_suffix_arrays, op8_prefix_hashes, op9_warc_zstd, op10_toxicity_neighbours, op11_cover_tree_negatives, op12_backtrack_bpe, op13_grammar_repair)
 }
 ORACLES: dict[str, str] = oracles.ORACLES
