@@ -99,4 +99,40 @@ FROM pos JOIN scored USING (id) WHERE NOT same AND {low} * ps <= 100 * score AND
 WINDOW w AS (PARTITION BY id, positive ORDER BY score DESC, other) QUALIFY row_number() OVER w <= {negatives}"""
 
 
-ORACLES = {"op4_secret_ledger": secret_scan(), "op6_path_templates": url_templates(), "op7_suffix_arrays": benchmark_windows(), "op9_warc_zstd": warc_records(), "op11_cover_tree_negatives": hard_negatives()}
+def conversation_repair() -> str:
+    """The programme row by row, as a recursion; a state is its cost, ten digits wide, followed by its audit, so the least text is the cheapest."""
+    add = lambda state, cost, letter: f"(lpad(CAST(CAST(left({state}, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || substr({state}, 11) || '{letter}')"
+    keep, other = "CASE WHEN i = '{}' THEN extra END", "extra + 1"
+    step = {
+        "n0": add("s0", 2, "D"),
+        "n1": f"least({add('s1', 2, 'D')}, {add('s0', keep.format('s'), 'K')})",
+        "n2": f"least({add('s2', 2, 'D')}, {', '.join(add(s, keep.format('u'), 'K') + ', ' + add(s, other, 'R') for s in ('s0', 's1', 's3'))})",
+        "n3": f"least({add('s3', 2, 'D')}, {add('s2', keep.format('a'), 'K')}, {add('s2', other, 'R')})",
+    }
+    to2 = f"least(n2, {', '.join(add(s, 5, 'I') for s in ('n0', 'n1', 'n3'))})"
+    return f"""WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM (SELECT range AS i FROM range(256))),
+b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT b.*, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]))) % 20 AS pick FROM b, crc),
+d AS (SELECT conv_id, turn, CASE WHEN pick = 4 THEN 'user' ELSE role END AS role, CASE pick WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE WHEN pick = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE pick <> 0),
+o AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS ended, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS pos,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM d),
+l AS (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+  CASE WHEN ended = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(ended, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+e AS (SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 5 END AS extra FROM l),
+f AS (SELECT conv_id, CAST(0 AS BIGINT) AS pos, '0000000000' AS s0, CAST(NULL AS VARCHAR) AS s1, '0000000005I' AS s2, '0000000010II' AS s3 FROM (SELECT DISTINCT conv_id FROM e)
+  UNION ALL SELECT conv_id, pos, n0, n1, n2b, least(n3, {add("n2b", 5, "I")}) FROM (SELECT *, {to2} AS n2b
+    FROM (SELECT f.conv_id, e.pos, {", ".join(f"{v} AS {k}" for k, v in step.items())} FROM f JOIN e ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND e.pos = f.pos + 1))),
+best AS (SELECT conv_id, least(s0, s3) AS s FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+x AS (SELECT conv_id, unnest(string_split(substr(s, 11), '')) AS edit, generate_subscripts(string_split(substr(s, 11), ''), 1) AS j FROM best),
+y AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS pos, count(*) FILTER (edit <> 'D') OVER w AS n, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id) AS total FROM x WHERE edit <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+r AS (SELECT y.conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (n + total) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired
+  FROM y LEFT JOIN e ON y.conv_id IS NOT DISTINCT FROM e.conv_id AND y.pos = e.pos WHERE edit <> 'D' GROUP BY y.conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pos > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(left(s, 10) AS BIGINT), 0) AS cost, coalesce(substr(s, 11), '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN best ON a.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN r ON a.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
+ORACLES = {"op4_secret_ledger": secret_scan(), "op6_path_templates": url_templates(), "op7_suffix_arrays": benchmark_windows(), "op9_warc_zstd": warc_records(), "op11_cover_tree_negatives": hard_negatives(), "op13_grammar_repair": conversation_repair()}
