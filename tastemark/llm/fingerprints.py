@@ -89,19 +89,34 @@ def code_points(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
 
 
-def fingerprint_of(prefixes: Prefixes) -> str:
+def marks_of(prefixes: Prefixes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and value of every span of ``width`` code points, by where it starts."""
     n = len(prefixes)
-    least = np.full(SLOTS, np.iinfo(np.int64).max)
-    width = min(SPAN, n)
-    for low in range(0, n - width + 1 if n else 0, _BLOCK):
-        start = np.arange(low, min(low + _BLOCK, n - width + 1))
+    slots, values = np.zeros(max(0, n - width + 1) if n else 0, np.uint8), np.zeros(max(0, n - width + 1) if n else 0, np.int64)
+    for low in range(0, len(slots), _BLOCK):
+        start = np.arange(low, min(low + _BLOCK, len(slots)))
         h = prefixes.spans(start, start + width).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(32))) >> np.uint64(1)
-        np.minimum.at(least, (h & np.uint64(SLOTS - 1)).astype(np.int64), h.astype(np.int64) >> 6)
+        slots[start], values[start] = (h & np.uint64(SLOTS - 1)).astype(np.uint8), h.astype(np.int64) >> 6
+    return slots, values
+
+
+def print_of(*marks: tuple[np.ndarray, np.ndarray]) -> str:
+    """The fingerprint that the least values of each slot make."""
+    slots, values = (np.concatenate(x) for x in zip(*marks, strict=True))
+    least = np.full(SLOTS, np.iinfo(np.int64).max)
+    if len(slots):
+        order = np.sort((slots.astype(np.int64) << 57) | values)  # values have 57 bits
+        first = np.flatnonzero(np.diff(order >> 57, prepend=-1))
+        least[order[first] >> 57] = order[first] & ((1 << 57) - 1)
     kept = np.where(least == np.iinfo(np.int64).max, EMPTY, least % EMPTY).astype(np.uint8)
     return kept.tobytes().hex()
 
 
+def fingerprint_of(prefixes: Prefixes) -> str:
+    return print_of(marks_of(prefixes, min(SPAN, len(prefixes))))
+
+
 def likeness(a: str, b: str) -> float:
     """Share of both texts' spans that the other has too (Dice), from the equal slots less what chance gives; 0 to 1."""
     if a == b:
@@ -135,16 +150,26 @@ class _Held:
     def __init__(self, ident: int | None, text: str | None):
         self.id, self.text = ident, text or ""
         self.prefixes = Prefixes(code_points(self.text))
-        self.print = fingerprint_of(self.prefixes)
+        self.marks = marks_of(self.prefixes, min(SPAN, len(self.prefixes)))
+        self.print = print_of(self.marks)
+
+    def edited_print(self, following: _Held, kept: int, taken: int) -> str:
+        """Fingerprint of the first ``kept`` code points followed by ``taken`` of the other text: only spans over the seam are new."""
+        if kept + taken < SPAN:
+            return fingerprint_of(Prefixes(np.concatenate([self.prefixes.code[:kept], following.prefixes.code[:taken]])))
+        seam = np.concatenate([self.prefixes.code[max(0, kept - SPAN + 1) : kept], following.prefixes.code[: min(taken, SPAN - 1)]])
+        parts = [tuple(x[: max(0, n - SPAN + 1)] for x in held.marks) for held, n in ((self, kept), (following, taken))]
+        return print_of(*parts, *([marks_of(Prefixes(seam), SPAN)] if len(seam) >= SPAN else []))
 
     def against(self, following: _Held) -> dict:
         changed = edit(self.text, following.text)
-        other = Prefixes(code_points(changed))
-        print_ = fingerprint_of(other)
+        third = len(self.text) // 3
+        kept, taken = len(self.text) - third, min(third, len(following.text))
+        print_ = self.edited_print(following, kept, taken)
         return {
             "id": self.id, "n_chars": len(self.text), "edited_sha256": hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
             "fingerprint": self.print, "edited_fingerprint": print_, "near_edited": likeness(self.print, print_), "near_next": likeness(self.print, following.print),
-            "kept_chars": self.prefixes.extension(0, other, 0),
+            "kept_chars": kept + self.prefixes.extension(kept, following.prefixes, 0) if third else kept,
         }
 
 
