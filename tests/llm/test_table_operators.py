@@ -1,3 +1,4 @@
+import itertools
 """SimHash, URL templates, WARC, toxicity and the pipeline against plain Python."""
 
 import hashlib
@@ -262,6 +263,26 @@ def test_toxicity_edges(spark):
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
+def kept_of_copies(texts: dict[int, str]) -> list[int]:
+    """The smallest id of every group linked at Jaccard 0.8 of five-word shingles, by comparing all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        words = t.encode().lower().split()
+        sets[i] = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
+    root = {i: i for i in texts}
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        shared = len(sets[a] & sets[b])
+        if sets[a] == sets[b] or shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    return [i for i in texts if top(i) == i]
+
+
 def test_pipeline_against_plain_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
@@ -269,14 +290,9 @@ def test_pipeline_against_plain_python(spark, sf):
     left = {}
     for i, r in rows.items():
         got = language._predict(model, [r["text"]]).to_pylist()[0]
-        if got["lang"] != "und" and got["score"] >= corpus_pipeline.LEAST_LANGUAGE_SCORE:
+        if got["lang"] != "und" and got["certainty"] >= corpus_pipeline.LEAST_LANGUAGE_SCORE:
             left[i] = r["text"]
-    prints = {i: brute_print(t, 5) for i, t in left.items()}
-    roots = brute_roots(set(prints.values()))
-    first = {}
-    for i in sorted(left):
-        first.setdefault(roots[prints[i]], i)
-    left = {i: left[i] for i in first.values()}
+    left = {i: left[i] for i in kept_of_copies(left)}
     items = [decontam.words_of(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     grams = {tuple(w[j : j + 10]) for w in items for j in range(len(w) - min(10, len(w)) + 1) if w}
     sizes = {len(g) for g in grams}
