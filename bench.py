@@ -15,7 +15,7 @@ from tastemark.session import get_session  # noqa: E402
 HEADLINE = [
     "join_review_business", "rating_and_time_matrices", "density_sample", "split_by_user_time", "train_corpus_rows", "user_neighbours",
     "user_knn_lists", "item_knn_scores", "ranking_metrics", "k_sweep_users", "user_category_matrix", "clean_reviews", "item_tfidf",
-    "item_text_neighbours", "top_bigrams", "highlight_phrases", "critique_sessions",
+    "item_text_neighbours", "top_bigrams", "highlight_phrases",
 ]
 
 

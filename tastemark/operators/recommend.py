@@ -11,9 +11,6 @@ from tastemark.functions.scalars import distance_km
 from tastemark.lookups import LIST_LENGTH, ORIGINS
 from tastemark.operators.ranking import top_per_group, top_rows
 
-#: Parts of the users that a list for all of them is joined to.
-DEALS = 64
-
 
 def rater_counts(ratings: DataFrame, liked_at: float = 4) -> DataFrame:
     """Users who rated and users who liked each item."""
@@ -43,8 +40,9 @@ def popular_by_liked(ratings: DataFrame, min_raters: int = 30, ascending: bool =
 
 def same_for_all(users: DataFrame, ranked: DataFrame, k: int = LIST_LENGTH) -> DataFrame:
     """The first ``k`` items of one list for every user, at any ``k``: the list is copied to every part of the users."""
-    parts = users.select("user_id").distinct().withColumn("_part", F.pmod(F.xxhash64("user_id"), F.lit(DEALS)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))).alias("_part")
+    deals = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = users.select("user_id").distinct().withColumn("_part", F.pmod(F.xxhash64("user_id"), F.lit(deals)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))).alias("_part")
     copies = ranked.where(F.col("rank") <= k).select(F.col("rank").cast("int").alias("rank"), F.col("item_id").cast("long").alias("item_id"), every)
     return parts.join(copies, "_part").select("user_id", "rank", "item_id")
 

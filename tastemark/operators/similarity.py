@@ -1,48 +1,17 @@
-"""Exact cosine neighbours of long-form matrices.
-
-Rows are cut into blocks. Each pair of blocks is one group: its two sides are multiplied as small dense tiles over
-the columns they share, and only the best ``k`` of every row leave the task. No pair of rows is ever a Spark row
-unless it is among those ``k``, so a column shared by a third of all rows costs arithmetic, not shuffle.
-Rows with very many cells do not fit a block; they are few and are compared by a join on the column instead.
-"""
+"""Cosine similarities of long-form matrices: neighbour lists, single query rows, combinations of several matrices."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastemark.operators import cosine_join
+from tastemark.operators.cosine_join import SIM_DIGITS, Recipe
 from tastemark.operators.ranking import top_per_group
 from tastemark.session import cut
 
-BLOCK_ROWS = 32_768  # rows of one side of a group once there is work for every core
-BLOCK_CELLS = 4_000_000
-MIN_BLOCKS = 64  # smaller inputs are cut finer, down to one tile per block
-TILE_ROWS = 2048
-MAX_TASKS = 50_000
-HEAVY_CELLS = 100_000
-TILE_COLUMNS = 2048
-SIM_DIGITS = 9
-
-
-@dataclass(frozen=True)
-class Recipe:
-    """How the similarities of several matrices become one: ``sum`` (weighted), ``max`` or ``min`` over ``parts``.
-
-    ``zero`` adds a 0 to the values compared by max and min, standing for matrices that were not given.
-    """
-
-    label: str
-    op: str = "sum"
-    parts: tuple[int, ...] = (0,)
-    weights: tuple[float, ...] = field(default=(1.0,))
-    zero: bool = False
-
 
 def combine_recipe(label: str, parts: Sequence[int], method: str | Sequence[float], slots: int | None = 5) -> Recipe:
     """``max``, ``min``, ``average`` or explicit weights over ``parts``.
@@ -70,9 +39,8 @@ def neighbours(
     k: int,
     recipes: Sequence[Recipe] | None = None,
     by: str | None = None,
-    block_rows: int = BLOCK_ROWS,
-    heavy_cells: int = HEAVY_CELLS,
-    tile_rows: int = TILE_ROWS,
+    block_rows: int | None = None,
+    segment_cells: int = cosine_join.SEGMENT_CELLS,
 ) -> DataFrame:
     """Best ``k`` neighbours ``(id, nbr, sim, rank)`` of every row by cosine, self excluded, ties by smaller id.
 
@@ -86,174 +54,15 @@ def neighbours(
     cells = None
     for i, source in enumerate(sources):
         part = source.select(
-            (F.col(by) if by else F.lit(0)).alias("grp"),
+            (F.struct(F.col(by).alias("by")) if by else F.lit(0)).alias("grp"),
             F.lit(i).alias("src"),
             F.col("row").cast("long").alias("row"),
             F.col("col").cast("long").alias("col"),
             F.col("value").cast("double").alias("value"),
         )
         cells = part if cells is None else cells.unionByName(part)
-    cells = cut(cells.where(F.col("value") != 0))
-    sizes = cells.groupBy("grp", "row").agg(F.count(F.lit(1)).alias("m"))
-    per_group = sizes.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.sum("m").alias("cells"), F.max("m").alias("widest"))
-    shape = per_group.agg(F.max("rows"), F.max("cells"), F.max("widest"), F.count(F.lit(1))).first()
-    rows, total, widest, groups = (int(v or 0) for v in shape)
-    # every row travels to every block: large inputs get large blocks, walked tile by tile inside the task
-    blocks = max(1, math.ceil(rows / block_rows), math.ceil(total / BLOCK_CELLS), min(MIN_BLOCKS, math.ceil(rows / tile_rows)))
-
-    if widest <= heavy_cells:
-        best = _block_neighbours(cells, recipes, k, blocks, groups, tile_rows)
-    else:
-        heavy = sizes.where(F.col("m") > heavy_cells).select("grp", "row")
-        light = cells.join(heavy, ["grp", "row"], "left_anti")
-        best = _block_neighbours(light, recipes, k, blocks, groups, tile_rows).unionByName(_heavy_neighbours(cells, heavy, recipes, len(sources)))
-    ranked = top_per_group(best, ["grp", "recipe", "id"], [F.col("sim").desc(), F.col("nbr")], k)
-    out = ([by] if by else []) + (["recipe"] if many else []) + ["id", "nbr", "sim", "rank"]
-    return ranked.withColumnRenamed("grp", by or "grp").select(*out)
-
-
-def _block_neighbours(cells: DataFrame, recipes: Sequence[Recipe], k: int, blocks: int, groups: int, tile_rows: int) -> DataFrame:
-    vectors = (
-        cells.groupBy("grp", "row")
-        .agg(F.sort_array(F.collect_list(F.struct("src", "col", "value"))).alias("c"))
-        .select("grp", "row", F.col("c.src").alias("src"), F.col("c.col").alias("col"), F.col("c.value").alias("value"))
-        .withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-    )
-    paired = vectors.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        "grp", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "row", "src", "col", "value"
-    )
-    tasks = min(MAX_TASKS, max(1, groups) * blocks * (blocks + 1) // 2)
-    grp_type = cells.schema["grp"].dataType.simpleString()
-    schema = f"grp {grp_type}, recipe string, id long, nbr long, sim double"
-    # a fixed number of tasks: the groups are small in bytes but heavy in arithmetic, so they must not be coalesced
-    return paired.repartition(tasks, "grp", "p", "q").groupBy("grp", "p", "q").applyInPandas(_tile_product(recipes, k, tile_rows), schema)
-
-
-def _tile_product(recipes: Sequence[Recipe], k: int, tile_rows: int):
-    used = sorted({m for r in recipes for m in r.parts})
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        grp, p, q = key
-        pdf = pdf.sort_values("row")
-        left, right = pdf[pdf.block == p], pdf[pdf.block == q]
-        best: dict[tuple, tuple] = {}  # (recipe, side, tile) -> ids, nbrs, sims; at most k per row
-        if len(left) and len(right):
-            lid, rid = left.row.to_numpy(), right.row.to_numpy()
-            cells = {m: (_unit_cells(left, m), _unit_cells(right, m)) for m in used}
-            other = "l" if p == q else "r"
-            for i in range(0, len(lid), tile_rows):
-                for j in range(i if p == q else 0, len(rid), tile_rows):
-                    ids, nbrs = lid[i : i + tile_rows], rid[j : j + tile_rows]
-                    tiles = {m: _product(_rows(a, i, len(ids)), _rows(b, j, len(nbrs)), len(ids), len(nbrs)) for m, (a, b) in cells.items()}
-                    for recipe in recipes:
-                        sims = np.round(_mix([tiles[m] for m in recipe.parts], recipe), SIM_DIGITS)
-                        same = p == q and i == j
-                        if same:
-                            np.fill_diagonal(sims, 0.0)
-                        _keep(best, (recipe.label, "l", i), _best(sims, ids, nbrs, k), k)
-                        if not same:
-                            _keep(best, (recipe.label, other, j), _best(sims.T, nbrs, ids, k), k)
-        columns = ["grp", "recipe", "id", "nbr", "sim"]
-        frames = [pd.DataFrame({"grp": grp, "recipe": where[0], "id": t[0], "nbr": t[1], "sim": t[2]}) for where, t in best.items()]
-        return pd.concat(frames)[columns] if frames else pd.DataFrame({c: [] for c in columns})
-
-    return run
-
-
-def _unit_cells(side: pd.DataFrame, src: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row position, column and unit value of every cell of one source, in row order."""
-    lengths = side.col.str.len().to_numpy()
-    at = np.repeat(np.arange(len(side)), lengths)
-    cols, vals, tags = (np.concatenate(side[c].to_list()) for c in ("col", "value", "src"))
-    keep = tags == src
-    at, cols, vals = at[keep], cols[keep], vals[keep]
-    norm = np.sqrt(np.bincount(at, weights=vals * vals, minlength=len(side)))
-    return at, cols, vals / norm[at]
-
-
-def _rows(cells: tuple, start: int, count: int) -> tuple:
-    """Cells of a run of rows, positions counted from its start."""
-    lo, hi = np.searchsorted(cells[0], [start, start + count])
-    return cells[0][lo:hi] - start, cells[1][lo:hi], cells[2][lo:hi]
-
-
-def _product(left: tuple, right: tuple, n_left: int, n_right: int) -> np.ndarray:
-    out = np.zeros((n_left, n_right))
-    shared = np.intersect1d(left[1], right[1])
-    for start in range(0, len(shared), TILE_COLUMNS):
-        tile = shared[start : start + TILE_COLUMNS]
-        out += _dense(*left, tile, n_left) @ _dense(*right, tile, n_right).T
-    return out
-
-
-def _keep(best: dict, where: tuple, new: tuple, k: int) -> None:
-    """Merge new neighbours of a tile's rows with the ones kept so far."""
-    if where in best:
-        ids, nbrs, sims = (np.concatenate(pair) for pair in zip(best[where], new))
-        order = np.lexsort((nbrs, -sims, ids))
-        ids, nbrs, sims = ids[order], nbrs[order], sims[order]
-        first = np.searchsorted(ids, ids)
-        keep = np.arange(len(ids)) - first < k
-        new = ids[keep], nbrs[keep], sims[keep]
-    best[where] = new
-
-
-def _dense(at: np.ndarray, cols: np.ndarray, vals: np.ndarray, tile: np.ndarray, rows: int) -> np.ndarray:
-    pos = np.minimum(np.searchsorted(tile, cols), len(tile) - 1)
-    hit = tile[pos] == cols
-    out = np.zeros((rows, len(tile)))
-    out[at[hit], pos[hit]] = vals[hit]
-    return out
-
-
-def _mix(values: list[np.ndarray], recipe: Recipe) -> np.ndarray:
-    if recipe.op == "sum":
-        return sum(w * v for w, v in zip(recipe.weights, values))
-    pick = np.maximum if recipe.op == "max" else np.minimum
-    out = values[0] if not recipe.zero else pick(values[0], 0.0)
-    for v in values[1:]:
-        out = pick(out, v)
-    return out
-
-
-def _best(sims: np.ndarray, ids: np.ndarray, nbrs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    width = sims.shape[1]
-    keep = sims > 0
-    if width > k:
-        keep &= sims >= np.partition(sims, width - k, axis=1)[:, [width - k]]
-    r, c = np.nonzero(keep)
-    s = sims[r, c]
-    order = np.lexsort((nbrs[c], -s, r))
-    r, c, s = r[order], c[order], s[order]
-    first = np.searchsorted(r, np.arange(sims.shape[0]))
-    keep = np.arange(len(r)) - first[r] < k
-    return ids[r[keep]], nbrs[c[keep]], s[keep]
-
-
-def _heavy_neighbours(cells: DataFrame, heavy: DataFrame, recipes: Sequence[Recipe], n_sources: int) -> DataFrame:
-    """Similarities of every row with the few rows too wide for a block: join on the column, summed map-side first."""
-    unit = normalise(cells, ["grp", "src", "row"])
-    wide = unit.join(heavy, ["grp", "row"], "left_semi").select("grp", "src", "col", F.col("row").alias("wide"), F.col("value").alias("w"))
-    parts = [F.coalesce(F.sum(F.when(F.col("src") == m, F.col("value") * F.col("w"))), F.lit(0.0)).alias(f"s{m}") for m in range(n_sources)]
-    pairs = unit.join(wide, ["grp", "src", "col"]).where(F.col("row") != F.col("wide")).groupBy("grp", "row", "wide").agg(*parts)
-    scored = pairs.select(
-        "grp", "row", "wide",
-        F.explode(F.array(*[F.struct(F.lit(r.label).alias("recipe"), F.round(_mix_columns(r), SIM_DIGITS).alias("sim")) for r in recipes])).alias("s"),
-    ).select("grp", "row", "wide", "s.*").where(F.col("sim") > 0)
-    to_wide = scored.select("grp", "recipe", F.col("row").alias("id"), F.col("wide").alias("nbr"), "sim")
-    light_only = scored.join(heavy, ["grp", "row"], "left_anti")
-    from_wide = light_only.select("grp", "recipe", F.col("wide").alias("id"), F.col("row").alias("nbr"), "sim")
-    return to_wide.unionByName(from_wide)
-
-
-def _mix_columns(recipe: Recipe) -> Column:
-    values = [F.col(f"s{m}") for m in recipe.parts]
-    if recipe.op == "sum":
-        return sum((F.lit(w) * v for w, v in zip(recipe.weights, values)), F.lit(0.0))
-    values += [F.lit(0.0)] if recipe.zero else []
-    if len(values) == 1:
-        return values[0]
-    return F.greatest(*values) if recipe.op == "max" else F.least(*values)
+    found = cosine_join.join(cut(cells.where(F.col("value") != 0)), len(sources), k, recipes, block_rows, segment_cells)
+    return found.select(*([F.col("grp.by").alias(by)] if by else []), *(["recipe"] if many else []), "id", "nbr", "sim", "rank")
 
 
 def against(queries: DataFrame, cells: DataFrame, k: int | None = None) -> DataFrame:
@@ -278,6 +87,21 @@ def append_similarities(known: DataFrame, new: DataFrame) -> DataFrame:
     return known.select("id", "nbr", "sim").unionByName(both.distinct())
 
 
+def refresh_neighbours(known: DataFrame, cells: DataFrame, new: DataFrame, k: int) -> DataFrame:
+    """Neighbour lists ``(id, nbr, sim, rank)`` after rows were added, equal to those of a new fit on all rows.
+
+    ``known`` are the lists of ``cells`` with the same ``k``; ``new`` are the cells of rows that were not there. Only
+    pairs with a new row are computed. Old lists take new rows in and let their last ones go; every map task keeps ``k``
+    partners a row before the shuffle.
+    """
+    keep = ["row", "col", "value"]
+    sims = cut(against(new, cells.select(*keep).unionByName(new.select(*keep))).where(F.col("sim") > 0))
+    fresh = new.select(F.col("row").alias("nbr")).distinct()
+    for_old = sims.join(fresh, "nbr", "left_anti").select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "sim")
+    every = known.select("id", "nbr", "sim").unionByName(sims).unionByName(for_old)
+    return top_per_group(every, ["id"], [F.col("sim").desc(), F.col("nbr")], k)
+
+
 def weight_grid(n: int, steps: Sequence[float], spark) -> DataFrame:
     """Weight tuples ``w1..wn`` from ``steps`` whose sum is 1 (tolerance 1e-9)."""
     grid = spark.range(1).select(F.lit(0.0).alias("_sum"))
@@ -306,6 +130,28 @@ def impute_from_similar(items: DataFrame, similar: DataFrame, value: str, defaul
     return known.withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def impute_along_links(items: DataFrame, similar: DataFrame, value: str, default) -> DataFrame:
+    """Missing ``value`` of an item from the first item that has one on the way of "most similar item" links.
+
+    Links are doubled in every round, so a way of n items takes log2(n) rounds; ways that end or run in a circle without
+    a value get ``default``. ``similar`` has one ``similar_id`` an ``id``. Null ids have no links. All rows and columns stay.
+    """
+    known = items.where(F.col(value).isNotNull() & F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min(value).alias("_value"))
+    links = similar.select(F.col("id").alias("item_id"), F.col("similar_id").alias("_to"))
+    missing = items.where(F.col(value).isNull()).select("item_id").distinct().join(known, "item_id", "left_anti")
+    open_ = cut(missing.join(links, "item_id").select("item_id", "_to", F.lit(None).cast(items.schema[value].dataType).alias("_value")))
+    first = open_.join(known.select(F.col("item_id").alias("_to"), F.col("_value").alias("_found")), "_to", "left")
+    ways = cut(first.select("item_id", "_to", F.col("_found").alias("_value")))
+    reach, total = 1, ways.count()
+    while reach < total:
+        ahead = ways.select(F.col("item_id").alias("_to"), F.col("_to").alias("_next"), F.col("_value").alias("_found"))
+        done = ways.where(F.col("_value").isNotNull())
+        further = ways.where(F.col("_value").isNull()).join(ahead, "_to").select("item_id", F.col("_next").alias("_to"), F.col("_found").alias("_value"))
+        ways, reach = cut(done.unionByName(further)), 2 * reach
+    filled = items.join(ways.select("item_id", "_value"), "item_id", "left")
+    return filled.withColumn(value, F.coalesce(value, "_value", F.lit(default))).select(*items.columns)
+
+
 def iter_pairs(n: int, low: int = 2) -> Iterator[tuple[int, ...]]:
     """All subsets of ``range(n)`` with at least ``low`` members (the combination sweep of four: eleven)."""
     from itertools import combinations

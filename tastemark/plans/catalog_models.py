@@ -590,7 +590,7 @@ def final_test_table(spark, sf):
 @query()
 def rolling_window_validation(spark, sf):
     reviews = fixtures.reviews(spark, sf)
-    return experiments.rolling_validation(reviews, fixtures.item_categories(spark, sf), range(1995, 2000), experiments.SWEEP_NEIGHBOURS, 6_100, 4_000)
+    return experiments.rolling_validation(reviews, fixtures.item_categories(spark, sf), experiments.rolling_windows(spark, 1995, 1999), experiments.SWEEP_NEIGHBOURS, 6_100, 4_000)
 
 
 # --- distance-limited lists -------------------------------------------------------------------------------------------

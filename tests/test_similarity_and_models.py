@@ -41,16 +41,14 @@ def got(df):
     return sorted((r.id, r.nbr, round(r.sim, 6)) for r in df.collect())
 
 
-def test_blocks_and_heavy_rows_agree_with_brute_force(spark):
+def test_blocks_and_segments_agree_with_brute_force(spark):
     cells = random_cells(3)
     want = best(cosines(cells), 5)
     df = make(spark, cells)
     assert got(neighbours(df, 5)) == want
     assert got(neighbours(df.repartition(64), 5, block_rows=7)) == want
-    assert got(neighbours(df, 5, block_rows=25, tile_rows=4)) == want  # blocks of several tiles
-    assert got(neighbours(df, 5, tile_rows=60)) == want
-    assert got(neighbours(df, 5, block_rows=16, heavy_cells=9)) == want  # some rows wide, some not
-    assert got(neighbours(df, 5, heavy_cells=0)) == want  # all rows wide
+    assert got(neighbours(df, 5, block_rows=25, segment_cells=3)) == want  # rows of several segments
+    assert got(neighbours(df, 5, block_rows=1, segment_cells=1)) == want
 
 
 def test_zero_row_identical_rows_and_repeated_cell(spark):
@@ -79,7 +77,7 @@ def test_combinations(spark):
     }
     recipes = [combine_recipe("max", [0, 1], "max"), combine_recipe("min", [0, 1], "min", None), combine_recipe("avg", [0, 1], "average"), combine_recipe("w", [0, 1], [0.75, 0.25])]
     dfs = [make(spark, c) for c in sets]
-    for options in ({"block_rows": 8}, {"heavy_cells": 5}):
+    for options in ({"block_rows": 8}, {"block_rows": 9, "segment_cells": 2}):
         out = neighbours(dfs, 3, recipes, **options)
         for name, values in want.items():
             assert got(out.where(F.col("recipe") == name)) == best(values, 3), (name, options)
@@ -154,7 +152,7 @@ def test_impute_and_blocks(spark):
 
 def test_windows_take_rows_strictly_inside(spark):
     df = spark.createDataFrame([("2013-01-01",), ("2013-01-02",), ("2014-03-01",), ("2014-06-01",)], "date string").withColumn("date", F.to_date("date"))
-    got_rows = sorted((str(r.date), r.window) for r in experiments.windows_of(df, [2013, 2014]).collect())
+    got_rows = sorted((str(r.date), r.window) for r in experiments.windows_of(df, experiments.rolling_windows(spark, 2013, 2014)).collect())
     assert got_rows == [("2013-01-02", 2013), ("2014-03-01", 2013), ("2014-03-01", 2014), ("2014-06-01", 2014)]
 
 
