@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python helper works on at once; larger Arrow batches are cut at row boundaries.
 PIECE_BYTES = 4 << 20
+#: Present where the C library is glibc.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +43,20 @@ def pieces(array: pa.Array, max_bytes: int = PIECE_BYTES) -> Iterator[pa.Array]:
     yield array.slice(start)
 
 
-def in_pieces(batches: Iterator[pa.Array], work: Callable[[list], pa.Array], kind: pa.DataType) -> Iterator[pa.Array]:
+def in_pieces(batches: Iterator[pa.Array], work: Callable[[list], pa.Array], kind: pa.DataType, max_bytes: int = PIECE_BYTES) -> Iterator[pa.Array]:
     """Apply ``work`` (a list of values to an Arrow array of as many rows) to bounded slices of every batch."""
     for batch in batches:
-        done = [work(piece.to_pylist()) for piece in pieces(batch)]
+        done = [work(piece.to_pylist()) for piece in pieces(batch, max_bytes)]
         yield pa.concat_arrays(done) if done else pa.array([], kind)
+        done = batch = None
+        give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free within the worker to the system: workers are reused by later stages and run side by side."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def sampled(rows: DataFrame, label: str, per_label: int, seed: int, id_col: str = "doc_id") -> DataFrame:

@@ -199,6 +199,10 @@ def fit(sample: list[tuple[str, str]], rounds: int = 30, rate: float = 0.3, deca
     return Model(labels, params["w"].astype(np.float32), lexicon, params["l"], params["t"], params["s"])
 
 
+#: Bytes of text labelled at once: several arrays of words by labels are held for them.
+PIECE_BYTES = 1 << 19
+
+
 def label_words(model: Model | None, texts: list[str | None]) -> list[tuple[list[bytes], np.ndarray]]:
     """Words and their label probabilities, per text; all texts of the call share one pass."""
     split = [words_of(t) if t else [] for t in texts]
@@ -242,6 +246,6 @@ def identify(model: Model | None, text: str | Column) -> Column:
     @arrow_udf("lang string, score double, n_words long, switches long, certainty double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = pickle.loads(packed)
-        yield from in_pieces(batches, lambda texts: _predict(fitted, texts), _KIND)
+        yield from in_pieces(batches, lambda texts: _predict(fitted, texts), _KIND, PIECE_BYTES)
 
     return predict.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
