@@ -35,10 +35,10 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_ACCOUNT = re.compile(r"(?:[ \t]*(?:no|nr|number|num)\b\.?)?[ \t]*[:=#]?[ \t]*((?:[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,4})?)|[A-Za-z]{0,2}[0-9](?:[ -]?[0-9]){5,17})(?![A-Za-z0-9])", re.ASCII)
+_ACCOUNT = re.compile(r"(?:[ \t]*+(?:no|nr|number|num)\b\.?)?[ \t]*+[:=#]?[ \t]*+((?:[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,4})?)|[A-Za-z]{0,2}[0-9](?:[ -]?[0-9]){5,17})(?![A-Za-z0-9])", re.ASCII)
 _HOUSE = re.compile(r"(?<!\w)[0-9]{1,5}[A-Za-z]?(?: [\w.'-]{1,30}){1,4}$")
 _HOUSE_AFTER = re.compile(r" [0-9]{1,4}[a-z]?\b")
-_LOGIN = re.compile(r"[^\s/@?#]+(?=@[A-Za-z0-9\[])")
+_LOGIN = re.compile(r"[^\s/@?#]++(?=@[A-Za-z0-9\[])")
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 
 
@@ -112,7 +112,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 if 9 <= sum(map(len, _DIGITS.findall(m[0]))) <= 15:
                     keep("phone", at, m.end())
         elif anchor == "scheme":
-            if end >= done["login"] and (m := _LOGIN.match(text, end, end + 256)):
+            if end >= done["login"] and (m := _LOGIN.match(text, end)):
                 keep("login", m.start(), m.end())
         elif anchor == "account":
             if at >= done["account"] and not (at and text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, end)):
