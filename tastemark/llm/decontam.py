@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
-Each task holds a shard of documents as word numbers and sorts those suffixes that a test window can start at: runs of
-words of the test set's vocabulary, at least as long as its shortest window. Every test suffix is binary-searched in the
-shard's array, which gives the longest verbatim match, its places, and the places of every window. Documents are whole
-within a shard, so nothing is shuffled. The test set is a query set; it is read in blocks of at most ``block_words``
+Each task holds a shard of documents as word numbers. Every suffix of the shard and of the test set, within runs of words
+of the test set's vocabulary, is sorted to its full length by prefix doubling; the place of the test suffixes among the
+shard's is found by binary search, and the common beginning with the neighbours there is the longest verbatim match.
+Windows are searched in an array sorted to their length, which gives all places of each. Documents are whole within a
+shard (a piece of a batch), so nothing is shuffled. The test set is a query set; it is read in blocks of at most ``block_words``
 words, each a broadcast of proven size, and a further block is one more pass in the same stage.
 
 Words are matched on bytes after lower-casing A-Z; every ASCII character but letters and digits separates words.
@@ -48,18 +49,17 @@ class TestBlock:
         coded = [[self.number.setdefault(w, len(self.number) + 1) for w in ws] for _, ws in items]
         self.bits = len(self.number).bit_length() or 1
         self.per_key = max(1, 62 // self.bits)
-        #: Place of every window in the items laid end to end, with a gap after each item.
-        self.item_at = np.cumsum([0, *[len(c) + 1 for c in coded]])
-        #: Window length -> (distinct windows, first occurrence of each in ``places``, places of all windows).
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        by_size: dict[int, dict[tuple, list[int]]] = {}
-        for base, c in zip(self.item_at, coded, strict=False):
+        #: The items laid end to end, with a 0 after each.
+        self.codes = np.array([w for c in coded for w in (*c, 0)], np.int64)
+        #: Window length -> (distinct windows, the items that each occurs in).
+        self.windows: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
+        by_size: dict[int, dict[tuple, dict[int, None]]] = {}
+        for i, c in enumerate(coded):
             n = min(window, len(c))
             for j in range(len(c) - n + 1):
-                by_size.setdefault(n, {}).setdefault(tuple(c[j : j + n]), []).append(int(base) + j)
+                by_size.setdefault(n, {}).setdefault(tuple(c[j : j + n]), {})[i] = None
         for n, found in by_size.items():
-            ends = np.cumsum([0, *map(len, found.values())])
-            self.windows[n] = np.array(list(found), np.int64).reshape(-1, n), ends, np.array([p for x in found.values() for p in x], np.int64)
+            self.windows[n] = np.array(list(found), np.int64).reshape(-1, n), [list(x) for x in found.values()]
 
     def keys(self, codes: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
         """Columns that order the suffixes at ``at`` by their first ``size`` words; positions past the end count as 0."""
@@ -105,47 +105,116 @@ def _bisect(have: np.ndarray, want: np.ndarray, low: np.ndarray, high: np.ndarra
     return low
 
 
+class FullOrder:
+    """All suffixes of ``codes`` that start at a word, each up to the next 0, in full order; a rank per depth that was sorted."""
+
+    def __init__(self, codes: np.ndarray, run: np.ndarray, bits: int):
+        self.codes, self.run, depth = codes, run, max(1, 62 // bits)
+        places = np.flatnonzero(codes)
+        padded = np.concatenate([codes, np.zeros(depth, np.int64)])
+        key, alive = np.zeros(len(places), np.int64), np.ones(len(places), bool)
+        for k in range(depth):
+            word = padded[places + k]
+            alive &= word > 0
+            key = (key << bits) | np.where(alive, word, 0)
+        order = np.argsort(key, kind="stable")
+        self.at, first = places[order], _changes(key[order])
+        rank = np.zeros(len(codes) + 1, np.int32)
+        rank[self.at] = _heads(first, np.arange(len(places))) + 1
+        self.ranks = [(depth, rank)]
+        while True:
+            tied = np.flatnonzero(~(first & np.append(first[1:], True)) & (run[self.at] >= depth))
+            if not len(tied):
+                return
+            some = self.at[tied]
+            key = (rank[some].astype(np.int64) << 32) | rank[some + depth]
+            order = np.argsort(key, kind="stable")
+            self.at[tied], first[tied] = some[order], _changes(key[order])
+            rank = rank.copy()
+            rank[self.at[tied]] = _heads(first[tied], tied) + 1
+            depth *= 2
+            self.ranks.append((depth, rank))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Number of words that the suffixes at ``a`` and ``b`` begin with together, from the deepest ranks to single words."""
+        a, start = a.copy(), a
+        b = b.copy()
+        lowest = self.ranks[0][1]
+        deep = np.flatnonzero(lowest[a] == lowest[b])
+        for depth, rank in reversed(self.ranks):
+            same = deep[(rank[a[deep]] == rank[b[deep]]) & (rank[a[deep]] > 0)]
+            step = np.minimum(depth, self.run[a[same]])
+            a[same] += step
+            b[same] += step
+        going = np.arange(len(a))
+        for _ in range(self.ranks[0][0]):
+            going = going[(self.codes[a[going]] == self.codes[b[going]]) & (self.codes[a[going]] > 0)]
+            a[going] += 1
+            b[going] += 1
+        return a - start
+
+
+def _changes(keys: np.ndarray) -> np.ndarray:
+    """Whether each value differs from the one before it."""
+    return np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+
+
+def _heads(first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row the place of the first row of its group."""
+    return np.maximum.accumulate(np.where(first, at, 0)) if len(at) else at
+
+
 def _search(block: TestBlock, docs: list[list[bytes]]) -> tuple[list[list[int]], list[set[int]], list[int], list[int]]:
     """Per document: flat [start, end) word ranges hit, items, and length and place of the longest verbatim match."""
     lens = np.array([len(d) for d in docs], np.int64)
     ends = np.cumsum(lens + 1)  # one 0 after each document, so that no run crosses
     first = ends - lens - 1
-    codes = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+    size_all = int(ends[-1]) if len(ends) else 0
+    codes = np.zeros(size_all + len(block.codes), np.int64)
     number = block.number.get
     for d, s in zip(docs, first, strict=True):
         codes[s : s + len(d)] = [number(w, 0) for w in d]
-    stops, places = np.flatnonzero(codes == 0), np.flatnonzero(codes)
-    run = stops[np.searchsorted(stops, places)] - places if len(places) else places
+    codes[size_all:] = block.codes
+    stops, every = np.flatnonzero(codes == 0), np.flatnonzero(codes)
+    run = np.zeros(len(codes) + 1, np.int64)
+    run[every] = stops[np.searchsorted(stops, every)] - every
+    places = every[every < size_all]
     spans: list[list[int]] = [[] for _ in docs]
     items: list[set[int]] = [set() for _ in docs]
-    longest, where = [0] * len(docs), [-1] * len(docs)
-    for size, (windows, bounds, at_item) in block.windows.items():
-        starts = places[run >= size]
+    for size, (windows, within) in block.windows.items():
+        starts = places[run[places] >= size]
         if not len(starts):
             continue
-        array = SuffixArray(block, codes, starts, size)
+        array = SuffixArray(block, codes[:size_all], starts, size)
         low, high = array.find(windows)
         found = high - low
         window = np.repeat(np.arange(len(windows)), found)
         at = array.at[np.arange(len(window)) - np.repeat(np.cumsum(found) - found, found) + np.repeat(low, found)]
-        order = np.argsort(at)
-        last, held, chain = -2, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for p, w in zip(at[order].tolist(), window[order].tolist(), strict=True):
-            d = int(np.searchsorted(ends, p, "right"))
-            local = p - int(first[d])
-            spans[d] += [local, local + size]
-            occurs = at_item[bounds[w] : bounds[w + 1]]
-            items[d].update((np.searchsorted(block.item_at, occurs, "right") - 1).tolist())
-            grown = np.ones(len(occurs), np.int64)
-            if p == last + 1 and len(held):  # the match goes on where the window before it is also the one before in the item
-                j = np.minimum(np.searchsorted(held, occurs - 1), len(held) - 1)
-                grown += np.where(held[j] == occurs - 1, chain[j], 0)
-            last, held, chain = p, occurs, grown
-            if (top := int(grown.max()) + size - 1) > longest[d]:
-                longest[d], where[d] = top, local + size - top
+        doc = np.searchsorted(ends, at, "right")
+        for d, p in zip(doc.tolist(), (at - first[doc]).tolist(), strict=True):
+            spans[d] += [p, p + size]
+        for pair in np.unique(doc * len(windows) + window).tolist():
+            items[pair // len(windows)].update(within[pair % len(windows)])
+    longest, where = _longest(FullOrder(codes, run, block.bits), size_all, places, first, ends)
     return [_merge(x) for x in spans], items, longest, where
 
 
+def _longest(order: FullOrder, size: int, places: np.ndarray, first: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]:
+    """Length and first place of the longest match of each document with any test suffix: one of the two nearest in the order."""
+    longest, where = np.zeros(len(ends), np.int64), np.full(len(ends), -1)
+    test = order.at[order.at >= size]
+    if len(places) and len(test):
+        rank = order.ranks[-1][1]
+        after = np.searchsorted(rank[test], rank[places])
+        length = np.maximum(*(order.common(places, test[np.clip(i, 0, len(test) - 1)]) for i in (after - 1, after)))
+        doc = np.searchsorted(ends, places, "right")
+        np.maximum.at(longest, doc, length)
+        top = np.flatnonzero((length == longest[doc]) & (length > 0))
+        found, at = np.unique(doc[top], return_index=True)
+        where[found] = places[top[at]] - first[found]
+    return longest.tolist(), where.tolist()
+
+
 def _merge(flat: list[int]) -> list[int]:
     out: list[int] = []
     for s, e in sorted(zip(flat[::2], flat[1::2], strict=True)):
