@@ -7,7 +7,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python helper works on at once; larger Arrow batches are cut at row boundaries.
@@ -73,23 +73,22 @@ def sampled(rows: DataFrame, label: str, per_label: int, seed: int, id_col: str
     return rows.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(steps)) < rate)
 
 
-def gathered(rows: DataFrame, label: str, per_label: int, seed: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """(label, text) of sampled rows on the driver, in a fixed order, at most 1.3 times ``per_label`` of each label.
+def gathered(rows: DataFrame, label: str, per_label: int, seed: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[Row]:
+    """(label, text, id) of sampled rows on the driver, in a fixed order, at most 1.3 times ``per_label`` of each label.
 
-    Of each text comes one window of at most ``max_chars`` code points at a hashed place; null texts are left out.
+    Of each text comes one window of at most ``max_chars`` code points at a hashed place; null texts are left out, and of
+    rows of one id and label one is taken. The bound holds before anything is collected.
     """
     room = F.greatest(F.lit(1), F.char_length(text_col) - F.lit(max_chars) + 1)
     start = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col)), room).cast("int") + 1
     window = F.substring(F.col(text_col), start, F.lit(max_chars))
-    taken = rows.filter(F.col(text_col).isNotNull()).select(F.col(label).alias("label"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"), F.col(id_col).alias("id"), window.alias("text")).collect()
-    out, used = [], {}
-    for r in sorted(taken, key=lambda r: (r["draw"], r["id"], r["text"])):
-        used[r["label"]] = used.get(r["label"], 0) + 1
-        if used[r["label"]] <= per_label * 13 // 10:
-            out.append((r["label"], r["text"]))
-    return out
+    drawn = rows.filter(F.col(text_col).isNotNull()).select(F.col(label).alias("label"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"), F.col(id_col).alias("id"), window.alias("text"))
+    one = drawn.groupBy("label", "draw", "id").agg(F.min("text").alias("text"))
+    first = one.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("draw", "id"))).filter(F.col("place") <= per_label * 13 // 10)
+    return sorted(first.select("label", "text", "id", "draw").collect(), key=lambda r: (r["draw"], r["id"], r["text"]))
 
 
 def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """A bounded sample of labelled rows for fitting a model on the driver."""
-    return gathered(sampled(rows, label, per_label, seed, id_col), label, per_label, seed, max_chars, id_col, text_col)
+    """A bounded sample of labelled rows (label, text) for fitting a model on the driver."""
+    taken = gathered(sampled(rows, label, per_label, seed, id_col), label, per_label, seed, max_chars, id_col, text_col)
+    return [(r["label"], r["text"]) for r in taken]

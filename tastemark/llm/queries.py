@@ -84,7 +84,7 @@ def op10_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = labels.filter(part != 1).filter("toxic is not null").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.train(docs, learned)
     rows = docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), toxicity.score(model, "text").alias("r"))
-    return rows.select("doc_id", "held_out", "r.score", F.when(F.col("r.score") >= 0.7, 1).otherwise(0).alias("predicted"), F.size("r.neighbours").alias("n_neighbours"))
+    return rows.select("doc_id", "held_out", "r.score", F.when(F.col("r.score") >= 0.7, 1).otherwise(0).alias("predicted"), F.col("r.neighbours").cast("array<long>").alias("neighbours"), "r.similarities")
 
 
 def op11_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

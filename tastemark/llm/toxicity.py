@@ -1,15 +1,16 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-A bounded, stratified sample of labelled rows gives the examples and the vocabulary: the words and word beginnings whose
-rate in toxic texts differs surely from that in clean ones, counted by distinct contexts (the words on both sides), so
-that copies of one text count once. Document frequencies cover all documents. The examples stand in an inverted index of blocks with
-the largest weight of every word in every block; a query visits blocks in the order of their upper bounds until none
-can improve its ``k`` nearest, which is exact. Votes fall with distance, and isotonic regression on the examples (each
-left out once, weighted to the true label rates) turns them into calibrated scores. Evidence: ids of the neighbours.
-
-Edge cases: null and empty texts and texts without a word of the vocabulary have a zero vector and get the rate of
-toxic ones among such examples. Without labels of both kinds every score is the (smoothed) share of toxic labels.
-Ties in similarity go to the example first in the sample's order. Repeated texts get equal scores.
+A bounded, stratified sample of labelled rows gives the examples; every word of theirs is in the vocabulary. Markers are
+the words and word beginnings whose rate in toxic texts differs surely from that in clean ones, counted by distinct
+contexts (the words on both sides), so that copies of one text count once; all other words weigh ``PLAIN`` as much.
+Document frequencies cover all documents. The examples stand in an inverted index of blocks with the largest weight of
+every term in every block; a query visits blocks in the order of their upper bounds until none can improve its ``k``
+nearest, which is exact. Votes fall with distance, and isotonic regression on the examples (each left out once, weighted
+to the true label rates) turns them into calibrated scores. Evidence: ids and similarities of the neighbours.
+
+Edge cases: null and empty texts and texts without a word of any example have a zero vector and get the rate of toxic
+ones among such examples. Without labels of both kinds every score is the (smoothed) share of toxic labels. Ties in
+similarity go to the example first in the index. Repeated texts get equal scores.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -31,11 +32,13 @@ from tastemark.llm.common import gathered, in_pieces, pieces, sampled
 BEGINNINGS = range(4, 8)
 #: Words whose vocabulary terms a task remembers; beyond that it starts anew, which changes no result.
 MEMO_WORDS = 400_000
-#: Weight of the one component that stands for all words outside the vocabulary, times the root of their number: without
-#: it the cosine would not tell one chance term in a long text from many in a short one.
-OTHER = 0.3
+#: Weight of a word that is no marker, and of the one component that all texts share, times the root of the number of
+#: words: without it the cosine would not tell one chance marker in a long text from many in a short one.
+PLAIN, COMMON = 0.02, 0.3
+#: Blocks whose examples are scored first; what they give decides which others are read.
+FIRST_BLOCKS = 3
 _WORD = re.compile(r"[^\W_]+")
-_KIND = pa.struct([("score", pa.float64()), ("neighbours", pa.list_(pa.int32())), ("similarities", pa.list_(pa.float64()))])
+_KIND = pa.struct([("score", pa.float64()), ("neighbours", pa.list_(pa.string())), ("similarities", pa.list_(pa.float64()))])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,108 +73,120 @@ def select_words(sample: list[tuple[int, str]], least_ratio: float, least_eviden
 
 
 class Vocabulary:
-    """Numbers of the chosen terms; remembers which of them a word has."""
+    """Numbers of the terms; remembers which of them a word has. A word is a term as a whole, its beginnings where they are markers."""
 
     def __init__(self, terms: list[str]):
         self.ids = {t: i for i, t in enumerate(terms)}
         self.memo: dict[str, tuple[int, ...]] = {}
 
-    def terms(self, text: str | None) -> tuple[Counter, int]:
-        """Count of each term in a text, and the number of its words."""
-        memo, out, words = self.memo, Counter(), words_of(text)
+    def terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """The terms of a text, the count of each, and the number of its words."""
+        memo, out, words = self.memo, [], words_of(text)
         if len(memo) > MEMO_WORDS:
             memo.clear()
         for w in words:
             found = memo.get(w)
             if found is None:
                 found = memo[w] = tuple(self.ids[t] for t in terms_of(w) if t in self.ids)
-            if found:
-                out.update(found)
-        return out, len(words)
+            out += found
+        return *np.unique(np.array(out, np.int64), return_counts=True), len(words)
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges end to end, and how many each has."""
+    n = stop - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
 
 
 class Index:
-    """Examples in blocks; per block the postings of each word and the largest weight of each."""
+    """Postings by term and example; the examples of a term fall into blocks, each with its largest weight."""
 
     def __init__(self, vectors: list[dict[int, float]], labels: list[int], block: int = 64):
         self.labels = np.array(labels, np.float64)
-        self.block = block
-        count = -(-len(vectors) // block)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        self.most: dict[int, np.ndarray] = {}
-        for b in range(count):
-            lists: dict[int, list] = {}
-            for i, v in enumerate(vectors[b * block : (b + 1) * block]):
-                for t, w in v.items():
-                    lists.setdefault(t, []).append((i, w))
-            self.postings.append({t: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for t, x in lists.items()})
-            for t, x in lists.items():
-                self.most.setdefault(t, np.zeros(count))[b] = max(w for _, w in x)
-        self.size = len(vectors)
+        self.size, self.blocks = len(vectors), -(-len(vectors) // block)
+        lens = [len(v) for v in vectors]
+        term = np.fromiter((t for v in vectors for t in v), np.int64, sum(lens))
+        weight = np.fromiter((w for v in vectors for w in v.values()), np.float64, sum(lens))
+        example = np.repeat(np.arange(self.size), lens)
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order], weight[order]
+        keys = term[order] * max(self.blocks, 1) + self.example // block
+        #: One cell for each block of a term: where its postings start, the block, and the largest weight.
+        cells, start = np.unique(keys, return_index=True)
+        self.start = np.append(start, len(keys))
+        self.in_block = cells % max(self.blocks, 1)
+        self.most = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0)
+        self.of_term = np.searchsorted(cells // max(self.blocks, 1), np.arange(int(term.max()) + 2 if len(term) else 1))
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above zero, best first, ties by position. ``without``: one to leave out."""
-        bounds = np.zeros(len(self.postings))
-        for t, w in query.items():
-            if t in self.most:
-                bounds += w * self.most[t]
-        ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(sims) == k and bounds[b] < sims[-1] - 1e-12):
-                break
-            score = np.zeros(self.block)
-            for t, w in query.items():
-                if t in self.postings[b]:
-                    at, weight = self.postings[b][t]
-                    score[at] += w * weight
+        term, w = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
+        known = term < len(self.of_term) - 1
+        term, w = term[known], w[known]
+        cells, n = _ranges(self.of_term[term], self.of_term[term + 1])
+        w, block = np.repeat(w, n), self.in_block[cells]
+        bounds = np.bincount(block, w * self.most[cells], self.blocks)
+        left = np.argsort(-bounds, kind="stable")
+        left = left[bounds[left] > 0]
+        ids, sims, first = np.zeros(0, np.int64), np.zeros(0), FIRST_BLOCKS
+        while len(left):
+            chosen = np.zeros(self.blocks, bool)
+            chosen[left[:first]] = True
+            read = chosen[block]
+            at, m = _ranges(self.start[cells[read]], self.start[cells[read] + 1])
+            score = np.bincount(self.example[at], np.repeat(w[read], m) * self.weight[at], self.size)
             hit = np.flatnonzero(score > 0)
-            hit = hit[hit + b * self.block != without]
-            ids, sims = np.concatenate([ids, hit + b * self.block]), np.concatenate([sims, np.round(score[hit], 12)])
+            hit = hit[hit != without]
+            ids, sims = np.concatenate([ids, hit]), np.concatenate([sims, np.round(score[hit], 12)])
             order = np.lexsort((ids, -sims))[:k]
             ids, sims = ids[order], sims[order]
+            left = left[first:]
+            if len(sims) == k:
+                left = left[bounds[left] >= sims[-1] - 1e-9]
+            first = self.blocks
         return ids, sims
 
 
 class Model:
-    def __init__(self, words: list[str], idf: np.ndarray, sample: list[tuple[int, str]], rates: dict[int, float], k: int, prior_votes: float):
-        self.vocabulary = Vocabulary(words)
+    def __init__(self, terms: list[str], idf: np.ndarray, sample: list[tuple[int, str, object]], rates: dict[int, float], k: int, prior_votes: float):
+        """``idf``: of each term, with the weight of markers in it."""
+        self.vocabulary = Vocabulary(terms)
         self.idf, self.k, self.prior_votes = idf, k, prior_votes
-        vectors = [self.vector(text) for _, text in sample]
-        labels = [y for y, _ in sample]
+        vectors = [self.vector(text) for _, text, _ in sample]
+        labels = [y for y, _, _ in sample]
         in_sample = Counter(labels)
         weight = np.array([rates[y] / in_sample[y] for y in labels])
         self.base = (rates[1] + 1e-3) / (rates[0] + rates[1] + 2e-3)
-        kept = [i for i, v in enumerate(vectors) if v]
+        # examples with much in common stand together: first by label, then by the share of the component of all texts
+        kept = sorted((i for i, v in enumerate(vectors) if v), key=lambda i: (labels[i], vectors[i][len(idf)], i))
         zero = np.array([not v for v in vectors], bool)
         y = np.array(labels, np.float64)
         # one observation of each base rate smooths the share of the texts without any word of the vocabulary
         unit = weight.mean() if len(weight) else 1.0
         self.zero_score = float(((weight * y)[zero].sum() + self.base * unit) / (weight[zero].sum() + unit))
+        self.ids = [str(sample[i][2]) for i in kept]
         self.index = Index([vectors[i] for i in kept], [labels[i] for i in kept])
-        raw = np.array([self.vote(*self.index.nearest(vectors[i], self.k, j))[0] for j, i in enumerate(kept)])
+        raw = np.array([self.vote(*self.index.nearest(vectors[i], self.k, j)) for j, i in enumerate(kept)])
         self.steps = isotonic(raw, y[kept], weight[kept]) if kept else (np.array([0.0]), np.array([self.base]))
 
     def vector(self, text: str | None) -> dict[int, float]:
         """Unit TF-IDF vector over the vocabulary; empty where no word of it occurs."""
-        tf, n_words = self.vocabulary.terms(text)
-        if not tf:
+        at, n, n_words = self.vocabulary.terms(text)
+        if not len(at):
             return {}
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(tf.items())} | {len(self.idf): OTHER * math.sqrt(n_words)}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / norm for t, x in v.items()}
+        x = np.append((1 + np.log(n)) * self.idf[at], COMMON * math.sqrt(n_words))
+        return dict(zip([*at.tolist(), len(self.idf)], (x / np.sqrt(x @ x)).tolist(), strict=True))
 
-    def vote(self, ids: np.ndarray, sims: np.ndarray) -> tuple[float, np.ndarray]:
+    def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
         votes = 1 / (1.05 - np.minimum(sims, 1.0))
-        share = (votes @ self.index.labels[ids] + self.prior_votes * self.base) / (votes.sum() + self.prior_votes)
-        return float(share), ids
+        return float((votes @ self.index.labels[ids] + self.prior_votes * self.base) / (votes.sum() + self.prior_votes))
 
     def score(self, text: str | None) -> dict:
         v = self.vector(text)
         if not v:
             return {"score": self.zero_score, "neighbours": [], "similarities": []}
         ids, sims = self.index.nearest(v, self.k)
-        raw, _ = self.vote(ids, sims)
-        return {"score": float(np.interp(raw, *self.steps)), "neighbours": ids.tolist(), "similarities": sims.tolist()}
+        return {"score": float(np.interp(self.vote(ids, sims), *self.steps)), "neighbours": [self.ids[i] for i in ids], "similarities": sims.tolist()}
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,20 +203,26 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return xs, np.clip(ys, 0.0, 1.0)
 
 
-def document_frequencies(docs: DataFrame, words: list[str], text_col: str = "text") -> tuple[int, np.ndarray]:
-    """Number of documents, and of those that each word of a bounded vocabulary occurs in, over all rows."""
+def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "text") -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that each term of a bounded vocabulary occurs in, over all rows."""
+    packed = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, n, found = Vocabulary(words), 0, Counter()
+        vocabulary, n = Vocabulary(packed.value), 0
+        found = np.zeros(len(packed.value), np.int64)
         for batch in batches:
             for piece in pieces(batch.column(0)):
                 for text in piece.to_pylist():
                     n += 1
-                    found.update(vocabulary.terms(text)[0].keys())
-        yield pa.RecordBatch.from_pydict({"word": [-1, *found], "n": [n, *found.values()]}, pa.schema([("word", pa.int32()), ("n", pa.int64())]))
+                    found[vocabulary.terms(text)[0]] += 1
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_pydict({"word": np.append(-1, seen).astype(np.int32), "n": np.append(n, found[seen])}, pa.schema([("word", pa.int32()), ("n", pa.int64())]))
 
-    totals = {r[0]: r[1] for r in docs.select(text_col).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n")).collect()}
-    return totals.get(-1, 0) or 0, np.array([totals.get(i, 0) for i in range(len(words))], np.float64)
+    told = docs.select(text_col).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    word, n = told["word"].to_numpy(), told["n"].to_numpy()
+    df = np.zeros(len(terms), np.float64)
+    df[word[word >= 0]] = n[word >= 0]
+    return int(n[word < 0].sum()), df
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "label", per_label: int = 1500, max_chars: int = 20_000, k: int = 15, least_ratio: float = 4.0, least_evidence: float = 25.0, prior_votes: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -212,23 +233,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "label", per_label: i
     """
     labels = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("_labelled"), F.col(label).cast("int").alias("_label"))
     counts = {r[0]: r[1] for r in labels.groupBy("_label").count().collect()}
-    drawn = F.broadcast(sampled(labels, "_label", per_label, 1010, "_labelled"))
+    drawn = F.broadcast(sampled(labels, "_label", per_label, 1010, "_labelled").distinct())
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(drawn, F.col("_id") == F.col("_labelled"))
-    sample = gathered(texts, "_label", per_label, 1010, max_chars, "_id", "_text")
+    sample = [(r["label"], r["text"], r["id"]) for r in gathered(texts, "_label", per_label, 1010, max_chars, "_id", "_text")]
     total = sum(counts.values()) or 1
     rates = {y: counts.get(y, 0) / total for y in (0, 1)}
-    words = select_words(sample, least_ratio, least_evidence) if len({y for y, _ in sample}) == 2 else []
-    n, df = document_frequencies(docs, words, text_col) if words else (0, np.zeros(0))
-    return Model(words, np.log((n + 1) / (df + 1)) + 1, sample, rates, k, prior_votes)
+    markers = select_words([(y, text) for y, text, _ in sample], least_ratio, least_evidence) if len({y for y, _, _ in sample}) == 2 else []
+    terms = sorted({*markers, *(w for _, text, _ in sample for w in words_of(text))})
+    n, df = document_frequencies(docs, terms, text_col) if terms else (0, np.zeros(0))
+    chosen = set(markers)
+    marked = np.array([t in chosen for t in terms], bool)
+    return Model(terms, (np.log((n + 1) / (df + 1)) + 1) * np.where(marked, 1.0, PLAIN), sample, rates, k, prior_votes)
 
 
 def score(model: Model, text: str | Column) -> Column:
-    """Struct (score, neighbours, similarities); neighbours are positions in the sample's examples that have a vector."""
-    packed = pickle.dumps(model)
+    """Struct (score, neighbours, similarities); neighbours are the ids of the nearest examples as text, nearest first."""
+    packed = SparkSession.active().sparkContext.broadcast(pickle.dumps(model))
 
-    @arrow_udf("score double, neighbours array<int>, similarities array<double>")
+    @arrow_udf("score double, neighbours array<string>, similarities array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        fitted = pickle.loads(packed)
+        fitted = pickle.loads(packed.value)
         yield from in_pieces(batches, lambda texts: pa.array([fitted.score(t) for t in texts], _KIND), _KIND)
 
     return run.asNondeterministic()(F.col(text) if isinstance(text, str) else text)
