@@ -28,8 +28,9 @@ SELECT d.doc_id, {counts}, sha256(coalesce({joined} FILTER (s.kind IN ({base})),
 FROM d LEFT JOIN s ON d.rid = s.rid GROUP BY d.rid, d.doc_id"""
 
 
-def url_templates(depth: int = 4, least_pages: int = 3, z: float = 1.96, strength: float = 4.0, base: float = 0.2, reject_at: float = 0.5) -> str:
-    """The template tree level by level, each level two grouped statements."""
+def url_templates(depth: int = 6, least_pages: int = 3, z: float = 1.96, strength: float = 4.0, base: float = 0.2, reject_at: float = 0.5) -> str:
+    """The template tree level by level, each level two grouped statements, for paths of at most ``depth`` segments; a level
+    without a branch of enough pages leaves ``**`` for the rest."""
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     longest = sorted(urls.RULES, key=lambda r: (len(r.where), r.where), reverse=True)
     rule = " ".join(f"WHEN {fits(r)} THEN '{r.where}'" for r in longest)
@@ -37,24 +38,25 @@ def url_templates(depth: int = 4, least_pages: int = 3, z: float = 1.96, strengt
     stem = "regexp_replace(s, '\\.[A-Za-z]{2,5}$', '')"
     fixed = f"regexp_full_match({stem}, '[0-9][0-9._-]*|[0-9a-fA-F-]{{16,}}') OR (regexp_full_match({stem}, '[A-Za-z0-9_-]{{20,}}') AND regexp_matches({stem}, '[0-9]'))"
     levels = []
-    for n in range(1, depth + 2):
+    for n in range(1, depth + 1):
         levels.append(f"""b{n} AS (SELECT host, template, shape[{n}] AS seg, sum(pages) AS pages, sum(labelled) AS labelled, sum(blocked) AS blocked FROM t{n - 1} WHERE len(shape) >= {n} GROUP BY ALL),
 a{n} AS (SELECT host, template, sum(labelled) AS al, sum(blocked) AS ab FROM b{n} WHERE labelled > 0 GROUP BY ALL),
-n{n} AS (SELECT host, template, seg, CASE WHEN seg IN ('*', '**') THEN seg WHEN pages < {least_pages} THEN '*'
+w{n} AS (SELECT count(*) > 0 AND {f"(SELECT any_value(more) FROM w{n - 1})" if n > 1 else "true"} AS more FROM (SELECT 1 FROM b{n} GROUP BY host, template HAVING sum(pages) >= {least_pages})),
+n{n} AS (SELECT host, template, seg, CASE WHEN seg = '*' THEN '*' WHEN pages < {least_pages} THEN '*'
   WHEN labelled > 0 AND al - labelled > 0 AND abs(blocked / labelled - (ab - blocked) / (al - labelled)) <= CAST({z} AS DOUBLE) * sqrt(ab / al * (1 - ab / al) * (1 / labelled + 1 / (al - labelled))) THEN '~' ELSE seg END AS name
   FROM b{n} LEFT JOIN a{n} USING (host, template)),
-t{n} AS (SELECT host, shape, pages, labelled, blocked, CASE WHEN name IS NULL THEN template ELSE template || '/' || name END AS template
+t{n} AS (SELECT host, shape, pages, labelled, blocked, CASE WHEN name IS NULL OR ends_with(template, '/**') THEN template WHEN (SELECT more FROM w{n}) THEN template || '/' || name ELSE template || '/**' END AS template
   FROM (SELECT *, shape[{n}] AS seg FROM t{n - 1}) LEFT JOIN n{n} USING (host, template, seg))""")
     return f"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 parts AS (SELECT *, CASE {rule} END AS rule, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM p),
 r AS (SELECT page_id, host, path, rule, CASE rule {said} END AS said,
-  list_transform(segs[1:{depth}], lambda s: CASE WHEN {fixed} THEN '*' ELSE s END) || CASE WHEN len(segs) > {depth} THEN ['**'] ELSE [] END AS shape FROM parts),
+  list_transform(segs, lambda s: CASE WHEN {fixed} THEN '*' ELSE s END) AS shape FROM parts),
 t0 AS (SELECT host, shape, count(*) AS pages, count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked, '' AS template FROM r GROUP BY host, shape),
 {", ".join(levels)},
-q AS (SELECT host, template, (sum(blocked) + CAST({strength * base} AS DOUBLE)) / (sum(labelled) + CAST({strength} AS DOUBLE)) AS purity FROM t{depth + 1} GROUP BY host, template)
+q AS (SELECT host, template, (sum(blocked) + CAST({strength * base} AS DOUBLE)) / (sum(labelled) + CAST({strength} AS DOUBLE)) AS purity FROM t{depth} GROUP BY host, template)
 SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN purity >= {reject_at} THEN 'block' ELSE 'allow' END) AS verdict, t.template, purity
-FROM r JOIN t{depth + 1} t ON r.host = t.host AND r.shape = t.shape JOIN q ON t.host = q.host AND t.template = q.template"""
+FROM r JOIN t{depth} t ON r.host = t.host AND r.shape = t.shape JOIN q ON t.host = q.host AND t.template = q.template"""
 
 
 def benchmark_windows(window: int = 10) -> str:

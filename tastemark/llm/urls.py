@@ -8,8 +8,8 @@ and all subdomains where the path starts with the rule's path, the longest one w
 fits; the templates decide the others. Only DataFrame operations are used.
 
 Edge cases: a null url or one without ``://`` has empty host and path, no rule, and the verdict of the empty template.
-Segments beyond ``depth`` are one last ``**``. A template without labels has the share
-``base`` and is let through. Null page ids and repeated rows are kept; extra columns are left out.
+The tree goes on level by level until no branch of ``least_pages`` pages has a further segment; what is
+left of a path is one last ``**``. A template without labels has the share ``base`` and is let through. Null page ids and repeated rows are kept; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -71,22 +71,24 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return chosen.cast("struct<where:string,verdict:string>")
 
 
-def shape(path: Column, depth: int) -> Column:
-    """Segments of a path, variable-looking ones as ``*``, those beyond ``depth`` as one ``**``."""
+def shape(path: Column) -> Column:
+    """Segments of a path, variable-looking ones as ``*``."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     stem = lambda s: F.regexp_replace(s, r"\.[A-Za-z]{2,5}$", "")
     variable = r"^(?:[0-9][0-9._-]*|[0-9a-fA-F-]{16,}|(?=.*[0-9])[A-Za-z0-9_-]{20,})$"
-    shown = F.transform(F.slice(parts, 1, depth), lambda s: F.when(stem(s).rlike(variable), F.lit("*")).otherwise(s))
-    return F.when(F.size(parts) > depth, F.concat(shown, F.array(F.lit("**")))).otherwise(shown)
+    return F.transform(parts, lambda s: F.when(stem(s).rlike(variable), F.lit("*")).otherwise(s))
 
 
-def template_tree(shapes: DataFrame, depth: int, least_pages: int, z: float) -> DataFrame:
+def template_tree(shapes: DataFrame, least_pages: int, z: float) -> DataFrame:
     """``shapes`` (host, shape, pages, labelled, blocked) with the column ``template``."""
-    rows = shapes.withColumn("template", F.lit(""))
-    for level in range(1, depth + 2):
-        rows = rows.withColumn("seg", F.get("shape", F.lit(level - 1)))
+    rows, level = shapes.withColumn("template", F.lit("")), 0
+    while True:
+        rows = rows.withColumn("seg", F.get("shape", F.lit(level)))
         sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "blocked")]
         branches = cut(rows.filter("seg is not null").groupBy("host", "template", "seg").agg(*sums))
+        large = branches.groupBy("host", "template").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= least_pages)
+        if large.isEmpty():
+            break
         beside = branches.filter("labelled > 0").groupBy("host", "template").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
         # one host may hold most branches, so the join to its sums is salted
         salted = branches.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(SALTS)))
@@ -96,21 +98,21 @@ def template_tree(shapes: DataFrame, depth: int, least_pages: int, z: float) ->
         apart = F.abs(F.col("blocked") / F.col("labelled") - (F.col("all_blocked") - F.col("blocked")) / others)
         noise = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / others))
         alike = (F.col("labelled") > 0) & (others > 0) & (apart <= F.lit(z) * noise)
-        name = F.when(F.col("seg").isin("*", "**"), F.col("seg")).when(F.col("pages") < least_pages, F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("seg"))
+        name = F.when(F.col("seg") == "*", "*").when(F.col("pages") < least_pages, F.lit("*")).when(alike, F.lit("~")).otherwise(F.col("seg"))
         named = judged.select("host", "template", "seg", name.alias("name"))
         rows = rows.join(cut(named), ["host", "template", "seg"], "left").withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))).drop("name", "seg")
-        rows = cut(rows)
-    return rows
+        rows, level = cut(rows), level + 1
+    return rows.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/**")))).drop("seg")
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, depth: int = 4, least_pages: int = 3, z: float = 1.96, strength: float = 4.0, base: float = 0.2, reject_at: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least_pages: int = 3, z: float = 1.96, strength: float = 4.0, base: float = 0.2, reject_at: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, template, purity) per page."""
     split = pages.select(F.col(id_col).alias("id"), url_host(url_col).alias("host"), url_path(url_col).alias("path"))
-    rows = split.select("id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("r"), shape(F.col("path"), depth).alias("shape"))
+    rows = split.select("id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("r"), shape(F.col("path")).alias("shape"))
     ruled = rows.select("id", "host", "path", "shape", F.col("r.where").alias("rule"), F.col("r.verdict").alias("said"))
     labelled, blocked = F.count("said"), F.count(F.when(F.col("said") == "block", 1))
     shapes = cut(ruled.groupBy("host", "shape").agg(F.count("*").alias("pages"), labelled.alias("labelled"), blocked.alias("blocked")))
-    tree = template_tree(shapes, depth, least_pages, z)
+    tree = template_tree(shapes, least_pages, z)
     purity = (F.sum("blocked") + F.lit(strength * base)) / (F.sum("labelled") + F.lit(strength))
     templates = cut(tree.groupBy("host", "template").agg(purity.alias("purity")))
     named = cut(tree.select("host", "shape", "template").join(templates, ["host", "template"]).select("host", "shape", "template", "purity"))
