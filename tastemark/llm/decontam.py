@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tastemark.llm.common import pieces
+from tastemark.llm.common import free_name, pieces
 
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _HITS = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("longest", pa.int32()), ("longest_at", pa.int32())])
@@ -248,7 +248,8 @@ def hits(docs: DataFrame, test: DataFrame, text_col: str = "text", out: str = "h
         if not i:
             docs = docs.withColumn(out, found)
         else:
-            docs = docs.withColumn("_block_hits", found).withColumn(out, arrow_udf(_joined, _TYPE)(F.col(out), F.col("_block_hits"))).drop("_block_hits")
+            more = free_name(docs, "_block_hits")
+            docs = docs.withColumn(more, found).withColumn(out, arrow_udf(_joined, _TYPE)(F.col(out), F.col(more))).drop(more)
     return docs
 
 
@@ -286,5 +287,6 @@ def items_sha256(items: list[str]) -> str:
 
 
 def decontaminate(docs: DataFrame, test: DataFrame, text_col: str = "text", **options: int) -> DataFrame:
-    """The documents that no window of a test item occurs in, all columns kept."""
-    return hits(docs, test, text_col, "_hits", **options).filter(F.size("_hits.spans") == 0).drop("_hits")
+    """The documents that no window of a test item occurs in, all columns kept, whatever their names."""
+    out = free_name(docs, "_hits")
+    return hits(docs, test, text_col, out, **options).filter(F.size(f"{out}.spans") == 0).drop(out)
