@@ -24,6 +24,17 @@ def write_matrix(cells: DataFrame, path: str, row: str = "row") -> None:
     cells.repartitionByRange(F.col(row)).sortWithinPartitions(row).write.mode("overwrite").parquet(path)
 
 
+def write_bucketed(cells: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Cells as a table ``name`` of hash buckets sorted by ``key``, one file a bucket, and the table read back.
+
+    Joins on ``key`` with tables of as many buckets and aggregations by ``key`` need no exchange. Choose ``buckets`` so that
+    one fits a task; a key's cells are one bucket's.
+    """
+    ready = cells.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    ready.mode("overwrite").format("parquet").option("path", path).saveAsTable(name)
+    return cells.sparkSession.table(name)
+
+
 def write_lookup(df: DataFrame, path: str) -> None:
     """A dictionary, id map or location table."""
     df.write.mode("overwrite").parquet(path)
