@@ -81,15 +81,54 @@ class Vocabulary:
 
     def terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
         """The terms of a text, the count of each, and the number of its words."""
-        memo, out, words = self.memo, [], words_of(text)
+        memo, found, words = self.memo, {}, words_of(text)
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        for w in words:
-            found = memo.get(w)
-            if found is None:
-                found = memo[w] = tuple(self.ids[t] for t in terms_of(w) if t in self.ids)
-            out += found
-        return *np.unique(np.array(out, np.int64), return_counts=True), len(words)
+        for w, n in Counter(words).items():
+            terms = memo.get(w)
+            if terms is None:
+                terms = memo[w] = tuple(self.ids[t] for t in terms_of(w) if t in self.ids)
+            for i in terms:
+                found[i] = found.get(i, 0) + n
+        at = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(at)
+        return at[order], np.fromiter(found.values(), np.int64, len(found))[order], len(words)
+
+
+class TermCounts:
+    """In how many texts each term occurs. Words are counted as they are; the few that begin like a marker one by one."""
+
+    def __init__(self, terms: list[str]):
+        self.ids = {t: i for i, t in enumerate(terms)}
+        #: Numbers of the terms that are beginnings, without their hyphen.
+        self.heads = {t[:-1]: i for t, i in self.ids.items() if t.endswith("-")}
+        self.found = np.zeros(len(terms), np.int64)
+        self.words: Counter = Counter()
+        self.plain: set[str] = set()
+
+    def add(self, text: str | None) -> None:
+        words = set(words_of(text))
+        self.words.update(words)
+        beginnings = set()
+        for w in words - self.plain:
+            own = [self.heads[w[:n]] for n in BEGINNINGS if len(w) > n and w[:n] in self.heads]
+            if own:
+                beginnings.update(own)
+            else:
+                self.plain.add(w)
+        for i in beginnings:
+            self.found[i] += 1
+        if len(self.words) > MEMO_WORDS:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        for w, n in self.words.items():
+            i = self.ids.get(w)
+            if i is not None:
+                self.found[i] += n
+        self.words.clear()
+        self.plain.clear()
+        return self.found
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,13 +247,13 @@ def document_frequencies(docs: DataFrame, terms: list[str], text_col: str = "tex
     packed = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, n = Vocabulary(packed.value), 0
-        found = np.zeros(len(packed.value), np.int64)
+        counts, n = TermCounts(packed.value), 0
         for batch in batches:
             for piece in pieces(batch.column(0)):
                 for text in piece.to_pylist():
                     n += 1
-                    found[vocabulary.terms(text)[0]] += 1
+                    counts.add(text)
+        found = counts.settle()
         seen = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"word": np.append(-1, seen).astype(np.int32), "n": np.append(n, found[seen])}, pa.schema([("word", pa.int32()), ("n", pa.int64())]))
 

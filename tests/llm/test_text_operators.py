@@ -351,3 +351,16 @@ def test_fingerprint_edges(spark):
     one = fingerprints.against_next(df.filter("doc_id = 5")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert fingerprints.against_next(df.limit(0)).count() == 0
+
+
+def test_term_counts_of_texts(monkeypatch):
+    from tastemark.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "MEMO_WORDS", 5)
+    terms = ["abcd-", "abcdef", "abcde-", "x", "yy", "never"]
+    texts = [None, "", "abcdef abcdeg x x", "Abcdzz yy X", "abcd yy yy", "q r s t u v w", "x abcdef"]
+    counts = toxicity.TermCounts(terms)
+    for t in texts:
+        counts.add(t)
+    want = [sum(any(term in toxicity.terms_of(w) for w in toxicity.words_of(t)) for t in texts) for term in terms]
+    assert counts.settle().tolist() == want
