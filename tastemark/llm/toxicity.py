@@ -20,6 +20,7 @@ import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,27 +73,40 @@ def select_words(sample: list[tuple[int, str]], least_ratio: float, least_eviden
     return sorted(chosen)
 
 
-class Vocabulary:
+class Vocabulary(dict):
     """Numbers of the terms; remembers which of them a word has. A word is a term as a whole, its beginnings where they are markers."""
 
     def __init__(self, terms: list[str]):
+        super().__init__()
         self.ids = {t: i for i, t in enumerate(terms)}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        #: Numbers of the terms that are beginnings, without their hyphen, and the lengths they have.
+        self.heads = {t[:-1]: i for t, i in self.ids.items() if t.endswith("-")}
+        self.lengths = sorted({len(t) for t in self.heads})
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        own = self.ids.get(word)
+        size, heads = len(word), self.heads
+        found = () if own is None else (own,)
+        for n in self.lengths:
+            if n < size and (i := heads.get(word[:n])) is not None:
+                found += (i,)
+        self[word] = found
+        return found
 
     def terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
         """The terms of a text, the count of each, and the number of its words."""
-        memo, found, words = self.memo, {}, words_of(text)
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w, n in Counter(words).items():
-            terms = memo.get(w)
-            if terms is None:
-                terms = memo[w] = tuple(self.ids[t] for t in terms_of(w) if t in self.ids)
-            for i in terms:
-                found[i] = found.get(i, 0) + n
-        at = np.fromiter(found, np.int64, len(found))
+        words = words_of(text)
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        counts = Counter(words)
+        found = list(map(self.__getitem__, counts))
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.fromiter(chain.from_iterable(found), np.int64, int(lens.sum()))
+        n = np.repeat(np.fromiter(counts.values(), np.int64, len(found)), lens)
         order = np.argsort(at)
-        return at[order], np.fromiter(found.values(), np.int64, len(found))[order], len(words)
+        at, n = at[order], n[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+        return at[first], np.add.reduceat(n, first) if len(at) else n, len(words)
 
 
 class TermCounts:
@@ -159,7 +173,10 @@ class Index:
 
     def nearest(self, query: dict[int, float], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above zero, best first, ties by position. ``without``: one to leave out."""
-        term, w = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query))
+        return self.nearest_to(np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), np.float64, len(query)), k, without)
+
+    def nearest_to(self, term: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """As ``nearest``, the query as two arrays."""
         known = term < len(self.of_term) - 1
         term, w = term[known], w[known]
         cells, n = _ranges(self.of_term[term], self.of_term[term + 1])
@@ -172,7 +189,8 @@ class Index:
             chosen = np.zeros(self.blocks, bool)
             chosen[left[:first]] = True
             read = chosen[block]
-            at, m = _ranges(self.start[cells[read]], self.start[cells[read] + 1])
+            cell = cells[read]
+            at, m = _ranges(self.start[cell], self.start[cell + 1])
             score = np.bincount(self.example[at], np.repeat(w[read], m) * self.weight[at], self.size)
             hit = np.flatnonzero(score > 0)
             hit = hit[hit != without]
@@ -208,23 +226,27 @@ class Model:
         raw = np.array([self.vote(*self.index.nearest(vectors[i], self.k, j)) for j, i in enumerate(kept)])
         self.steps = isotonic(raw, y[kept], weight[kept]) if kept else (np.array([0.0]), np.array([self.base]))
 
-    def vector(self, text: str | None) -> dict[int, float]:
-        """Unit TF-IDF vector over the vocabulary; empty where no word of it occurs."""
+    def weights(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Unit TF-IDF vector over the vocabulary as terms and weights; empty where no word of it occurs."""
         at, n, n_words = self.vocabulary.terms(text)
         if not len(at):
-            return {}
+            return at, np.zeros(0)
         x = np.append((1 + np.log(n)) * self.idf[at], COMMON * math.sqrt(n_words))
-        return dict(zip([*at.tolist(), len(self.idf)], (x / np.sqrt(x @ x)).tolist(), strict=True))
+        return np.append(at, len(self.idf)), x / np.sqrt(x @ x)
+
+    def vector(self, text: str | None) -> dict[int, float]:
+        at, x = self.weights(text)
+        return dict(zip(at.tolist(), x.tolist(), strict=True))
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
         votes = 1 / (1.05 - np.minimum(sims, 1.0))
         return float((votes @ self.index.labels[ids] + self.prior_votes * self.base) / (votes.sum() + self.prior_votes))
 
     def score(self, text: str | None) -> dict:
-        v = self.vector(text)
-        if not v:
+        at, x = self.weights(text)
+        if not len(at):
             return {"score": self.zero_score, "neighbours": [], "similarities": []}
-        ids, sims = self.index.nearest(v, self.k)
+        ids, sims = self.index.nearest_to(at, x, self.k)
         return {"score": float(np.interp(self.vote(ids, sims), *self.steps)), "neighbours": [self.ids[i] for i in ids], "similarities": sims.tolist()}
 
 
