@@ -19,6 +19,8 @@ from tastemark.session import cut
 
 #: Cells of lists that a task holds; where all lists have more, parts are made small enough.
 HELD_CELLS = 40_000_000
+#: Lists of so many cells in all are sent to every part.
+SHORT_CELLS = 5_000_000
 #: Products looked at at once.
 EXPANDED = 1_000_000
 #: Cells of one piece of a list.
@@ -157,13 +159,14 @@ def product(
     ``left`` has ``(u, key, w, at)``, ``right`` ``(key, item, x, at)``; a product counts for every ``k`` that is at
     least both ``at``. Pairs of ``seen`` ``(u, item)`` are left out. ``most`` keeps the best of each u, ties by smaller
     item. Without ``ks`` everything counts, and sums of nulls alone are null; with ``ks`` these drop out.
-    Both sides are read more than once and should be written tables.
+    ``right`` is read more than once and should be a written table, as should ``left`` unless ``right`` is short.
     """
     cores = left.sparkSession.sparkContext.defaultParallelism
     left = left.where(F.col("key").isNotNull()).withColumn("u", F.coalesce("u", F.lit(NONE)))
     right = right.where(F.col("key").isNotNull()).withColumn("item", F.coalesce("item", F.lit(NONE)))
+    cells = right.count()
     if parts is None:
-        cells, parts = right.count(), 2 * cores
+        parts = 2 * cores
         if cells > HELD_CELLS:  # a part reads no more cells than its own rows ask for
             asked = left.count() * cells / max(1, right.select("key").distinct().count())
             parts = max(parts, math.ceil(asked / HELD_CELLS))
@@ -177,8 +180,11 @@ def product(
     piece = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("item")) - 1) / PIECE_CELLS)
     cell = F.collect_list(F.struct("item", F.col("x").cast("double").alias("x"), F.col("at").cast("int").alias("at")))
     pieces = right.withColumn("_piece", piece).groupBy("key", "_piece").agg(cell.alias("c"))
-    called = left.select(part, "key").distinct()
-    sent = pieces.join(called, "key").select(
+    if cells <= SHORT_CELLS:
+        called = pieces.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    else:
+        called = pieces.join(left.select(part, "key").distinct(), "key")
+    sent = called.select(
         "part", F.lit(0).alias("kind"), F.col("key").alias("u"), F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("w"), F.lit(0).alias("at"), F.lit(False).alias("seen"),
         F.col("c.item").alias("item"), F.col("c.x").alias("x"), F.col("c.at").alias("rank"),
     )

@@ -320,9 +320,11 @@ b AS (SELECT user_id, item_id, value / sqrt(sum(value * value) OVER (PARTITION B
 one AS (SELECT a.user_id AS id, b.user_id AS nbr, round(sum(a.v * b.v), 9) AS sim FROM a JOIN b USING (item_id) GROUP BY 1, 2)
 SELECT id, nbr, sim FROM one UNION ALL SELECT nbr, id, sim FROM one""")
 def new_user_similarities(spark, sf):
-    sims = similarity.against(knn.as_matrix(_new_users(spark, sf)), knn.as_matrix(fixtures.cells(spark, sf)))
-    none = sims.select("id", "nbr", "sim").limit(0)
-    return similarity.append_similarities(none, sims)
+    new, cells = cut(knn.as_matrix(_new_users(spark, sf))), cut(knn.as_matrix(fixtures.cells(spark, sf)))
+    ids = new.select("row").distinct()
+    apart, among = (similarity.against(new, cells.join(ids, "row", how)) for how in ("left_anti", "left_semi"))
+    none = spark.createDataFrame([], "id long, nbr long, sim double")
+    return similarity.append_similarities(similarity.append_similarities(none, apart, apart=True), among)
 
 
 @query(f"""WITH {CELLS}, n AS (SELECT * FROM cells WHERE user_id % 50 = 7), m AS (SELECT user_id, avg(value) AS mean FROM n GROUP BY user_id)

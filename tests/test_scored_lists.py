@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tastemark.operators import knn, scored_lists
+from tastemark.operators import knn, scored_lists, similarity
 from tastemark.operators.scored_lists import product, user_lists
 
 
@@ -62,3 +62,28 @@ def test_keys_without_a_list_and_empty_sides(spark):
     assert product(left, right).count() == 0
     assert product(left, right.limit(0)).count() == 0
     assert product(left.limit(0), right, left.select("u", F.col("key").alias("item"))).count() == 0
+
+
+def test_new_rows_meet_all_rows_without_a_shuffle_of_pairs(spark):
+    rnd = random.Random(9)
+    old = [(r, c, float(rnd.randint(1, 5))) for r in range(30) for c in rnd.sample(range(12), 5)]
+    new = [(r, c, 5.0) for r in (3, 7, 100) for c in rnd.sample(range(12), 4)]
+    cells, queries = (spark.createDataFrame(x, "row long, col long, value double") for x in (old, new))
+    plan = similarity.against(queries, cells)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+    none = spark.createDataFrame([], "id long, nbr long, sim double")
+    ids = queries.select("row").distinct()
+    far, near = (similarity.against(queries, cells.join(ids, "row", how)) for how in ("left_anti", "left_semi"))
+    got = similarity.append_similarities(similarity.append_similarities(none, far, apart=True), near)
+    unit = [similarity.normalise(x).withColumnRenamed("row", n).withColumnRenamed("value", n[0]) for x, n in ((queries, "id"), (cells, "nbr"))]
+    sims = unit[0].join(unit[1], "col").where("id <> nbr").groupBy("id", "nbr").agg(F.round(F.sum(F.col("i") * F.col("n")), 9).alias("sim"))
+    want = sims.union(sims.select("nbr", "id", "sim")).distinct()
+    rows = lambda x: sorted((r.id, r.nbr, round(r.sim, 8)) for r in x.collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 100
+
+
+def test_a_part_may_be_sent_only_the_lists_it_calls(small, monkeypatch):
+    nbrs, ratings = small
+    monkeypatch.setattr(scored_lists, "SHORT_CELLS", 0)
+    same(user_lists(nbrs, ratings, 6), knn.top_k(knn.score(nbrs, ratings), ratings, 6))
+    same(user_lists(nbrs, ratings, 6, True, parts=3), knn.top_k(knn.score(nbrs, ratings, True), ratings, 6))
