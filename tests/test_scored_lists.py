@@ -82,8 +82,9 @@ def test_new_rows_meet_all_rows_without_a_shuffle_of_pairs(spark):
     assert rows(got) == rows(want) and len(rows(got)) > 100
 
 
-def test_a_part_may_be_sent_only_the_lists_it_calls(small, monkeypatch):
+def test_a_part_is_sent_the_lists_it_calls_or_all(small):
     nbrs, ratings = small
-    monkeypatch.setattr(scored_lists, "SHORT_CELLS", 0)
-    same(user_lists(nbrs, ratings, 6), knn.top_k(knn.score(nbrs, ratings), ratings, 6))
-    same(user_lists(nbrs, ratings, 6, True, parts=3), knn.top_k(knn.score(nbrs, ratings, True), ratings, 6))
+    left = nbrs.select(F.col("id").alias("u"), F.col("nbr").alias("key"), F.col("sim").alias("w"), F.lit(0).alias("at"))
+    right = ratings.select(F.col("user_id").alias("key"), F.col("item_id").alias("item"), F.col("value").alias("x"), F.lit(0).alias("at"))
+    rows = [sorted(map(str, product(left, right, parts=3, everywhere=e).withColumn("score", F.round("score", 8)).collect())) for e in (False, True)]
+    assert rows[0] == rows[1] and len(rows[0]) > 100
